@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memloom.llm import near_duplicates
+from memloom.llm import endings, near_duplicates, pairs, residue
 from memloom.sources.tables import table
 
 
@@ -28,5 +29,51 @@ pairs AS (
 SELECT id_a, id_b FROM pairs WHERE 10 * shared >= 7 * (na + nb - shared)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
+
+def _p5(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.pair_defects(pairs.as_pairs(table(spark, folder, "fact_results"), table(spark, folder, "agent_responses")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _p5(spark, folder)
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _p5(spark, folder).groupBy("tab", "field_name", "defect").agg(F.count("*").alias("n_pairs"))
+
+
+def _p6(spark: SparkSession, folder: str) -> DataFrame:
+    results, artifacts = table(spark, folder, "fact_results"), table(spark, folder, "artifacts")
+    said = results.select(F.lit("fact_results").alias("tab"), F.col("result_id").cast("string").alias("rec_key"), F.lit("answer").alias("field_name"), F.col("agent_name").alias("source"), F.col("answer").alias("text"))
+    quoted = artifacts.select(F.lit("artifacts").alias("tab"), F.col("id").alias("rec_key"), F.lit("quote").alias("field_name"), F.col("src").alias("source"), F.col("quote").alias("text"))
+    return endings.endings(said.unionByName(quoted).where("text is not null"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _p6(spark, folder).where("cut").select("tab", "rec_key", "field_name")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return endings.cut_rates(_p6(spark, folder))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_documents(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_messages(spark: SparkSession, folder: str) -> DataFrame:
+    groups = residue.message_groups(residue.matched_messages(table(spark, folder, "documents")))
+    return groups.select("kind", "message", "n_docs", "n_sources", "residue")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
+    "p9_found": p9_found,
+    "p9_messages": p9_messages,
+}
 ORACLE = {"p1_found": _P1}

@@ -42,6 +42,7 @@ RATIO = 3  # a size band holds sizes s with low <= s < 3 * low
 SKETCH_BITS = 20
 SIGS_PER_TASK = 3_000_000
 BLOCK = 2_000_000
+FILTER_BITS = 23
 
 # what an index or probe entry is for
 DEL, ASK_FULL, ASK_DEL, INDEXED = 1, 2, 4, 8
@@ -273,7 +274,7 @@ def _matches(scheme: Scheme):
     """Joins the entries of one partition; pairs that the parity filter cannot refute."""
 
     def within(keys, n, parity, entries, lengths) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rec = np.repeat(np.arange(len(keys)), lengths)
+        rec, widest = np.repeat(np.arange(len(keys)), lengths), int(scheme.distance(n.max(), n.max()))
         sig, flag = entries >> np.uint32(4), entries & np.uint32(15)
         indexed, is_del = (flag & INDEXED) > 0, (flag & DEL) > 0
         for asks, stored in (((flag & ASK_FULL) > 0, indexed & ~is_del), ((flag & ASK_DEL) > 0, indexed & is_del)):
@@ -295,6 +296,8 @@ def _matches(scheme: Scheme):
                 start = np.repeat(lo[a:b] + skip - (np.cumsum(size) - size), size)
                 x, y = np.repeat(rec[probe[a:b]], size), owner[start + np.arange(upto - done)]
                 done = upto
+                ok = np.bitwise_count(parity[x] ^ parity[y]) <= widest
+                x, y = x[ok], y[ok]
                 nx, ny = n[x], n[y]
                 # within a band the larger set asks; the next band is asked by the smaller
                 ok = (ny < nx) | ((ny == nx) & (keys[y] < keys[x])) | (scheme.band(ny) > scheme.band(nx)) if len(nx) else np.zeros(0, bool)
@@ -330,6 +333,44 @@ def _matches(scheme: Scheme):
     return run
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap of fixed size with two bits for each key, in parts."""
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for b in batches:
+        bits[_spots(b.column(0).to_numpy())] = True
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(64), pa.int32()), pa.array([np.packbits(x).tobytes() for x in bits.reshape(64, -1)], pa.binary())], names=["part", "bits"])
+
+
+def _spots(keys: np.ndarray) -> np.ndarray:
+    k = keys.view(np.uint64)
+    return np.stack([(k >> np.uint64(s)) & np.uint64((1 << FILTER_BITS) - 1) for s in (3, 37)]).astype(np.int64)
+
+
+def _either(key, table):
+    both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([both.tobytes()], pa.binary())})
+
+
+def _only_marked(bits, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(held[_spots(b.column(column).to_numpy())].all(axis=0)))
+
+    return run
+
+
+def reduced_to(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``table`` without most rows whose ``column`` isn't among ``keys``, before any shuffle of it.
+
+    A runtime filter of 2^FILTER_BITS bits, whatever the input: rows that pass are still
+    joined, so only the volume depends on it. Runs ``keys``.
+    """
+    parts = keys.mapInArrow(_marks, "part int, bits binary").groupBy("part").applyInArrow(_either, "part int, bits binary").collect()
+    bits = b"".join(bytes(r.bits) for r in sorted(parts, key=lambda r: r.part)) or bytes((1 << FILTER_BITS) // 8)
+    return table.mapInArrow(_only_marked(table.sparkSession.sparkContext.broadcast(bits), column), table.schema)
+
+
 def word_sets(records: DataFrame, key: str, texts: list[str], min_words: int) -> DataFrame:
     """(id, skey, n, words): the distinct words of each record, sorted, and the class key of that set."""
     text: Column = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in texts])
@@ -346,8 +387,9 @@ def class_links(sets: DataFrame, num: int, den: int, min_words: int) -> DataFram
     counts = b"".join(r.counts for r in sorted(summed, key=lambda r: r.part))
     tasks = max(shuffle_partitions(spark), -(-sum(r.total for r in summed) // SIGS_PER_TASK))
     entries = parts_of.mapInArrow(_entries(scheme, tasks, spark.sparkContext.broadcast(counts)), "part int, skey long, n int, parity long, entries binary")
-    found = entries.repartitionById(tasks, F.col("part")).mapInArrow(_matches(scheme), "ka long, kb long").distinct()
-    words = sets.select("skey", "words").dropDuplicates(["skey"])
+    found = keep(entries.repartitionById(tasks, F.col("part")).mapInArrow(_matches(scheme), "ka long, kb long").distinct())
+    named = found.select(F.explode(F.array("ka", "kb")).alias("skey"))
+    words = keep(reduced_to(sets.select("skey", "words"), "skey", named).dropDuplicates(["skey"]))
     both = found.join(words.withColumnsRenamed({"skey": "ka", "words": "wa"}), "ka").join(words.withColumnsRenamed({"skey": "kb", "words": "wb"}), "kb")
     a, b = F.split("wa", " "), F.split("wb", " ")
     shared = F.size(F.array_intersect(a, b))
@@ -357,13 +399,15 @@ def class_links(sets: DataFrame, num: int, den: int, min_words: int) -> DataFram
 def near_duplicate_pairs(records: DataFrame, key: str, texts: list[str], num: int = 7, den: int = 10, min_words: int = 24, expand: int = 1000) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all similar pairs, copies of more than ``expand`` members as stars."""
     sets = keep(word_sets(records, key, texts, min_words))
-    members = sets.select("skey", "id").distinct()
-    sized = members.groupBy("skey").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    many = sized.where("copies > 1")
-    links = class_links(sets, num, den, min_words)
-    shown = members.join(sized, "skey").where((F.col("copies") <= expand) | (F.col("id") == F.col("first"))).select("skey", "id")
+    members = sets.select("skey", "id")
+    # repeated deliveries count here too: that only sends their class through the distinct below
+    sized = keep(sets.groupBy("skey").agg(F.count("*").alias("copies"), F.min("id").alias("first")))
+    many = keep(sized.where("copies > 1"))
+    links = keep(class_links(sets, num, den, min_words))
+    linked = reduced_to(members, "skey", links.select(F.explode(F.array("ka", "kb")).alias("skey")))
+    shown = linked.join(sized, "skey").where((F.col("copies") <= expand) | (F.col("id") == F.col("first"))).select("skey", "id")
     across = links.join(shown.withColumnsRenamed({"skey": "ka", "id": "x"}), "ka").join(shown.withColumnsRenamed({"skey": "kb", "id": "y"}), "kb").select("x", "y")
-    copies = members.join(many, "skey")
+    copies = reduced_to(members, "skey", many.select("skey")).join(many, "skey")
     small = copies.where(F.col("copies") <= expand).select("skey", F.col("id").alias("x"))
     inside = small.join(small.withColumnRenamed("x", "y"), "skey").where("x < y").select("x", "y")
     star = copies.where((F.col("copies") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))

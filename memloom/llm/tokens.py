@@ -3,9 +3,10 @@
 Method: Spark higher-order functions. Texts are cut into words by the tokenizer's own
 pattern; distinct words of the corpus become byte arrays, and an ``aggregate`` folds the
 ranked merges over them, looking ranks up in a rank map that enters the plan as one
-literal (a scalar subquery whose value is an array of small hash buckets, so a lookup is
-a hash, an index and a map of one or two entries). A word that is itself in the
-vocabulary needs no fold and is resolved in place. Encoded words are joined back by word
+literal (parsed from JSON when the plan is optimised: an array of small hash buckets, so
+a lookup is a hash, an index and a map of one or two entries). A word that is itself in the
+vocabulary needs no fold and is resolved in place. Bytes are held as strings of one
+character per byte (ISO-8859-1), which Spark slices and concatenates. Encoded words are joined back by word
 and put in order per document. Decoding concatenates the binary pieces of the ids.
 
 The fold takes quadratic time in the bytes of a word. Words of more than FOLD_BYTES bytes
@@ -21,17 +22,19 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.session import tokenizer_path
 
 # fixed value: the pattern that splits text before the merges, in Java's syntax
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 FOLD_BYTES = 28
 
 
@@ -41,26 +44,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
 
 
-def _rank_rows(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    return spark.createDataFrame(pa.table({"piece": pa.array(list(ranks), pa.binary()), "rank": pa.array(list(ranks.values()), pa.int32())}))
+def byte_string(text: Column) -> Column:
+    """The UTF-8 bytes of a text as characters 0 to 255."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
 def _slot(piece: Column) -> Column:
-    return F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int") + 1
+    return (F.crc32(piece.cast("binary")) % BUCKETS).cast("int") + 1
 
 
 class Ranks:
-    """The rank map as a literal of the plan."""
+    """The rank map, and the pieces by id, as literals of the plan."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, path: str) -> None:
         self.ranks = read_ranks(path)
-        rows = _rank_rows(spark, self.ranks)
-        filled = rows.withColumn("slot", _slot(F.col("piece"))).groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("piece", "rank"))).alias("m"))
-        every = spark.range(1, BUCKETS + 1).select(F.col("id").cast("int").alias("slot")).join(filled, "slot", "left")
-        table = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.lit(0).alias("z"))).alias("s")), F.collect_list(F.struct("slot", "m")).alias("e"))
-        ordered = table.select(F.transform(F.array_sort("e", lambda a, b: a["slot"] - b["slot"]), lambda x: x["m"]).alias("t"))
-        self.table = ordered.scalar()
-        self.pieces = rows.agg(F.collect_list(F.struct("rank", F.hex("piece").alias("h"))).alias("e")).select(F.transform(F.array_sort("e", lambda a, b: a["rank"] - b["rank"]), lambda x: x["h"]).alias("t")).scalar()
+        slots: list[dict[str, int] | None] = [None] * BUCKETS
+        for piece, rank in self.ranks.items():
+            name = piece.decode("latin-1")
+            at = zlib.crc32(name.encode()) % BUCKETS
+            slots[at] = {**(slots[at] or {}), name: rank}
+        self.table = F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+        by_id = [""] * (max(self.ranks.values()) + 1)
+        for piece, rank in self.ranks.items():
+            by_id[rank] = piece.hex()
+        self._by_id = by_id
+
+    @property
+    def pieces(self) -> Column:
+        return F.from_json(F.lit(json.dumps(self._by_id)), "array<string>")
 
     def rank(self, piece: Column) -> Column:
         """The rank of a byte string, null if it is none."""
@@ -69,7 +80,7 @@ class Ranks:
 
 def fold(word: Column, ranks: Ranks) -> Column:
     """Ids of the bytes of one word: ranked merges folded over its byte array."""
-    size = F.octet_length(word)
+    size = F.length(word)
     start = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
 
     def merge(parts: Column, step: Column) -> Column:
@@ -121,7 +132,7 @@ def _long_words(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
         for b in batches:
-            ids = [merge_by_heap(w, table) for w in b.column(0).to_pylist()]
+            ids = [merge_by_heap(w.encode("latin-1"), table) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return run
@@ -130,16 +141,16 @@ def _long_words(ranks):
 def encode(documents: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, ids): the ids of each text."""
     spark = documents.sparkSession
-    ranks = Ranks(spark, path or tokenizer_path(spark, "byte_bpe_50k.tiktoken"))
-    words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0)), lambda w: F.encode(w, "UTF-8"))
+    ranks = Ranks(path or tokenizer_path(spark, "byte_bpe_50k.tiktoken"))
+    words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0)), byte_string)
     read = documents.select(F.col(key).alias("key"), words.alias("words"))
     # each word with its place and, if it is in the vocabulary, its id
     placed = read.select("key", F.transform("words", lambda w, i: F.struct(i.alias("at"), ranks.rank(w).alias("id"), w.alias("word"))).alias("p"))
     known = placed.select("key", F.transform(F.filter("p", lambda x: x["id"].isNotNull()), lambda x: F.struct(x["at"].alias("at"), F.array(x["id"]).alias("ids"))).alias("p"))
     rest = placed.select("key", F.explode(F.filter("p", lambda x: x["id"].isNull())).alias("x")).select("key", "x.at", "x.word")
     distinct = rest.select("word").distinct()
-    short = distinct.where(F.octet_length("word") <= FOLD_BYTES).select("word", fold(F.col("word"), ranks).alias("ids"))
-    long = distinct.where(F.octet_length("word") > FOLD_BYTES).mapInArrow(_long_words(spark.sparkContext.broadcast(ranks.ranks)), "word binary, ids array<int>")
+    short = distinct.where(F.length("word") <= FOLD_BYTES).select("word", fold(F.col("word"), ranks).alias("ids"))
+    long = distinct.where(F.length("word") > FOLD_BYTES).mapInArrow(_long_words(spark.sparkContext.broadcast(ranks.ranks)), "word string, ids array<int>")
     merged = rest.join(short.unionByName(long), "word").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("q"))
     both = known.join(merged, "key", "left")
     ordered = F.array_sort(F.concat("p", F.coalesce("q", F.array().cast("array<struct<at:int,ids:array<int>>>"))))
@@ -149,6 +160,6 @@ def encode(documents: DataFrame, key: str, text: str, path: str | None = None) -
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(key, text): the text of each list of ids, its binary pieces concatenated; null ids give null."""
     spark = encoded.sparkSession
-    ranks = Ranks(spark, path or tokenizer_path(spark, "byte_bpe_50k.tiktoken"))
+    ranks = Ranks(path or tokenizer_path(spark, "byte_bpe_50k.tiktoken"))
     pieces = F.array_join(F.transform("ids", lambda i: F.element_at(ranks.pieces, i + 1)), "")
     return encoded.select("key", F.decode(F.unhex(pieces), "UTF-8").alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import endings, near_duplicates, pairs, residue
+from memloom.llm import endings, near_duplicates, neighbours, packing, pairs, residue, splitting, tokens
 from memloom.sources.tables import table
 
 
@@ -30,6 +30,32 @@ SELECT id_a, id_b FROM pairs WHERE 10 * shared >= 7 * (na + nb - shared)
 """
 
 
+def _p3(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_items(table(spark, folder, "chunks"), "chunk_id", "content", "source_turns")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _p3(spark, folder).where("piece = 0").select(F.col("key").alias("chunk_id"))
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _p3(spark, folder).withColumnsRenamed({"key": "chunk_id", "start": "start_char", "end": "end_char"})
+
+
+def _p4(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
+    return [(tab, neighbours.nearest(table(spark, folder, tab), key, "embedding")) for tab, key in (("chunks", "chunk_id"), ("archive_entries", "entry_id"))]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = [neighbours.mutual_pairs(lists).select(F.lit(tab).alias("tab"), "id_a", "id_b") for tab, lists in _p4(spark, folder)]
+    return found[0].unionByName(found[1])
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    lists = [found.select(F.lit(tab).alias("tab"), F.col("key").alias("id"), F.posexplode("neighbours").alias("rank", "x")) for tab, found in _p4(spark, folder)]
+    return lists[0].unionByName(lists[1]).select("tab", "id", "rank", F.col("x.id").alias("neighbour_id"), F.round("x.cosine", 4).alias("cosine"))
+
+
 def _p5(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.pair_defects(pairs.as_pairs(table(spark, folder, "fact_results"), table(spark, folder, "agent_responses")))
 
@@ -57,6 +83,29 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
     return endings.cut_rates(_p6(spark, folder))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    texts = tokens.decode(tokens.encode(documents, "doc_id", "text")).withColumnRenamed("key", "doc_id")
+    same = F.coalesce(documents["text"], F.lit("")) == texts["text"]
+    return documents.join(texts, "doc_id").agg(F.count("*").alias("n_documents"), F.sum(same.cast("long")).alias("n_equal"))
+
+
+def _p8(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, folder, "documents")))
+
+
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return _p8(spark, folder).withColumnRenamed("key", "doc_id")
+
+
+def p8_bins(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.bins(_p8(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_documents(table(spark, folder, "documents")).select("doc_id")
 
@@ -66,14 +115,40 @@ def p9_messages(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("kind", "message", "n_docs", "n_sources", "residue")
 
 
+_P4 = """
+WITH v AS (
+  SELECT 'chunks' AS tab, chunk_id AS id, any_value(embedding) AS e FROM chunks GROUP BY chunk_id
+  UNION ALL SELECT 'archive_entries', entry_id, any_value(embedding) FROM archive_entries GROUP BY entry_id),
+u AS (
+  SELECT tab, id, e::FLOAT[128] AS e FROM v
+  WHERE e IS NOT NULL AND len(e) = 128 AND NOT list_bool_or(list_transform(e, lambda x: isnan(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+s AS (
+  SELECT a.tab, a.id AS a, b.id AS b, array_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.tab = b.tab AND a.id <> b.id),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY tab, a ORDER BY round(c, 6) DESC, b) <= 10)
+SELECT x.tab, x.a AS id_a, x.b AS id_b FROM t x JOIN t y ON x.tab = y.tab AND x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.c >= 0.9
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
+    "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
+    "p8_pack": p8_pack,
+    "p8_bins": p8_bins,
     "p9_found": p9_found,
     "p9_messages": p9_messages,
 }
-ORACLE = {"p1_found": _P1}
+ORACLE = {
+    "p1_found": _P1,
+    "p3_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 512",
+    "p7_round_trip": "SELECT count(*) AS n_documents, count(*) AS n_equal FROM documents",
+    "p4_found": _P4,
+}

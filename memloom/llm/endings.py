@@ -19,21 +19,23 @@ columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.session import shuffle_partitions
+from memloom.session import keep, shuffle_partitions
 
 # fixed values: what stands for nothing
 STAND_INS = frozenset(["null", "none", "nan", "nil", "n/a", "na", "n.a", "empty", "no response", "continued", "start", "end", "undefined", "unknown", "br", "br/", "p", "p /p", "tbd"])
 # fixed values: phrases that end in an ellipsis on purpose
 ON_PURPOSE = re.compile(r"(and so on|and so forth|and more|et cetera|etc|usw|und so weiter|und mehr|et ainsi de suite|y así sucesivamente|y más|等等|之类)[.\s]*$", re.I)
 BLANK = "\\s\u200b\u200c\u200d\u2060\ufeff\u00ad"
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
+LETTERS_AT_END = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 TAIL = re.compile(rf"(?:[{BLANK}]*(?:\.{{2,}}|…+|\ufffd+|\[(?:\.\.\.|…|cut|truncated|more)\]|\((?:\.\.\.|…|cut|truncated|more)\)|<(?:cut|truncated)>|[-–—]{{2,}}))+[{BLANK}\"'”’»)\]]*$", re.I)
 CLOSERS = re.compile(rf"[{BLANK}\"'”’»)\]*_`]+$")
 FULL_STOP = re.compile(r"[.!?。！？；;]$")
@@ -41,6 +43,7 @@ FULL_STOP = re.compile(r"[.!?。！？；;]$")
 SPLIT = re.compile(r"(?<=[.!?])(?<!\b\d\.)(?<!\b\d\d\.)\s+|(?<=[.!?])\s+(?!(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b)|(?<=[。！？])\s*|\n+")
 ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+\S")
 LINK = re.compile(r"https?://\S+$|\S+@\S+\.\S+$")
+ALNUM = re.compile(r"[^\W_]")
 CODE = re.compile(r"\b[A-Z]{2,4}-\d{2,}$")
 TOKEN = re.compile(r"[\u3400-\u9fff]|[^\W_]+(?:['’-][^\W_]+)*|[$,:]")
 NAME = re.compile(r"^[A-ZÀ-Þ][\w'’-]*$")
@@ -52,6 +55,8 @@ def bare(text: str | None) -> str:
     """What is left of a value without white space, invisible characters, punctuation, markup and stand-ins."""
     if text is None:
         return ""
+    if len(text) > 80 and text[0] not in "<[({" and ALNUM.search(text):
+        return text  # longer than any stand-in
     plain = re.sub(r"<[^<>]{0,40}>", " ", text)
     plain = re.sub(r"[\W_]+", " ", plain).strip()
     core = re.sub(r"[\s\[\](){}<>\"'*.]+", " ", text).strip().lower()
@@ -70,6 +75,15 @@ def skeleton(fragment: str) -> list[str]:
     return out
 
 
+def opening_keys(part: str) -> list[str]:
+    """The opening keys of a finished sentence of six tokens or more; only its beginning is read."""
+    head = part[:160]
+    tokens = skeleton(head)
+    if len(tokens) < 6 or (len(tokens) < 7 and len(head) < len(part)):
+        return []
+    return [k for n in range(1, 6) if (k := opening_key(tokens, n))]
+
+
 def opening_key(tokens: list[str], n: int) -> str:
     """The first n tokens and the first character of the next; empty if there are none or all are masks."""
     if not 0 < n < len(tokens) or all(t in ("N", "0", "0ref", ",", ":", "$") for t in tokens[:n]):
@@ -81,8 +95,8 @@ def judge(text: str | None) -> tuple[str, str, str]:
     """(verdict, stem, key): 'whole', 'cut' or 'open'; the value without its tail; the masked opening that settles an open case."""
     if not bare(text):
         return "whole", "", ""
-    stem = re.sub(rf"[{BLANK}]+$", "", text)
-    marked = TAIL.search(stem)
+    stem = text.rstrip(BLANKS)
+    marked = TAIL.search(stem, max(0, len(stem) - 80)) if stem[-1:] not in LETTERS_AT_END else None
     if marked:
         body = stem[: marked.start()]
         if not bare(body) or ON_PURPOSE.search(body):
@@ -122,35 +136,35 @@ def _judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Masked openings (1 to 5 tokens) of finished sentences of six tokens or more, each once per task."""
+    """Opening keys of finished sentences, each once per task."""
     seen: set[str] = set()
+    heads: set[str] = set()
     for b in batches:
         new = []
         for text in b.column(0).to_pylist():
-            if not text:
-                continue
-            for part in SPLIT.split(text):
+            for part in SPLIT.split(text) if text else ():
                 part = part.strip()
-                if FULL_STOP.search(part):
-                    tokens = skeleton(part)
-                    if len(tokens) >= 6:
-                        for n in range(1, 6):
-                            key = opening_key(tokens, n)
-                            if key not in seen:
-                                if len(seen) > 500_000:
-                                    seen.clear()
-                                seen.add(key)
-                                new.append(key)
+                if part[:80] in heads or not FULL_STOP.search(part[-1:]):
+                    continue
+                if len(heads) > 500_000:  # caches of what this task has sent
+                    heads.clear()
+                    seen.clear()
+                heads.add(part[:80])
+                for key in opening_keys(part):
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(key)
         yield pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["opening"])
 
 
 def _place(cuts: list[str]):
-    keys = np.array([c.encode() for c in cuts], object)
+    keys = [c.encode() for c in cuts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [int(np.searchsorted(keys, s.encode(), "right")) for s in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*b.schema.names, "part"])
+            once = list(dict.fromkeys(b.column(0).to_pylist()))  # copies need no second row
+            at = [bisect.bisect_right(keys, s.encode()) for s in once]
+            yield pa.RecordBatch.from_arrays([pa.array(once, pa.string()), pa.array(at, pa.int32())], names=["stem", "part"])
 
     return run
 
@@ -167,6 +181,8 @@ def _strict_prefixes(cuts: list[str]):
         for b in batches:
             out = []
             for stem, p in zip(b.column("stem").to_pylist(), b.column("part").to_pylist()):
+                if stem == last:
+                    continue
                 if last is not None:
                     nxt = stem if p == part else cuts[part]
                     if continues(last, nxt):
@@ -186,7 +202,7 @@ def strict_prefixes(values: DataFrame, column: str = "stem", least: int = 8, sam
     stems = values.where(F.length(column) >= least).select(F.col(column).alias("stem"))
     drawn = sorted((r.stem for r in stems.orderBy(F.xxhash64("stem")).limit(sample).collect()), key=str.encode)
     cuts = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}, key=str.encode) if drawn else []
-    placed = stems.mapInArrow(_place(cuts), "stem string, part int").distinct()
+    placed = stems.mapInArrow(_place(cuts), "stem string, part int")
     return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "stem").mapInArrow(_strict_prefixes(cuts), "stem string")
 
 
@@ -194,8 +210,8 @@ def endings(values: DataFrame) -> DataFrame:
     """(tab, rec_key, field_name, source, cut, longer) for each record of (tab, rec_key, field_name, source, text)."""
     schema = ", ".join(f"{c} string" for c in ("tab", "rec_key", "field_name", "source", "verdict", "stem", "opening"))
     texts = values.select("tab", "rec_key", "field_name", "source", "text").dropDuplicates(["tab", "rec_key", "field_name"])
-    judged = texts.mapInArrow(_judge_rows, schema)
-    longer = strict_prefixes(values.select("text").mapInArrow(_judge_rows, "verdict string, stem string, opening string"))
+    judged = keep(texts.mapInArrow(_judge_rows, schema))
+    longer = strict_prefixes(judged).distinct()
     known = values.select("text").mapInArrow(_openings, "opening string").distinct()
     unsure = judged.where("verdict <> 'whole'").join(longer.withColumn("longer", F.lit(True)), "stem", "left")
     settled = unsure.join(known.withColumn("known", F.lit(True)), "opening", "left")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import references, texts
+from memloom.plans import references, retrieval, texts
 
-_MODULES = (references, texts)
+_MODULES = (references, texts, retrieval)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
 FLAGSHIP = "p2_report"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import graphs, histories, references, retrieval, selections, texts
+from memloom.plans import extractions, graphs, histories, metrics, references, retrieval, selections, texts
 
-_MODULES = (references, texts, retrieval, graphs, selections, histories)
+_MODULES = (references, texts, retrieval, graphs, selections, histories, extractions, metrics)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
 FLAGSHIP = "p2_report"

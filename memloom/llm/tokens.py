@@ -34,7 +34,7 @@ from memloom.session import tokenizer_path
 
 # fixed value: the pattern that splits text before the merges, in Java's syntax
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
 FOLD_BYTES = 28
 
 
@@ -63,15 +63,15 @@ class Ranks:
             name = piece.decode("latin-1")
             at = zlib.crc32(name.encode()) % BUCKETS
             slots[at] = {**(slots[at] or {}), name: rank}
-        self.table = F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
-        by_id = [""] * (max(self.ranks.values()) + 1)
-        for piece, rank in self.ranks.items():
-            by_id[rank] = piece.hex()
-        self._by_id = by_id
+        self.table = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
 
     @property
     def pieces(self) -> Column:
-        return F.from_json(F.lit(json.dumps(self._by_id)), "array<string>")
+        """The pieces by id, in hex."""
+        by_id = [""] * (max(self.ranks.values()) + 1)
+        for piece, rank in self.ranks.items():
+            by_id[rank] = piece.hex()
+        return F.from_json(F.lit(json.dumps(by_id)), "array<string>")
 
     def rank(self, piece: Column) -> Column:
         """The rank of a byte string, null if it is none."""

@@ -190,40 +190,43 @@ def _route(index, dim: int, k: int, probe: int):
     return run
 
 
-def _search(dim: int, k: int):
-    """Exact cosines between the visitors and the members of each cell of one block; the best k + 1 per visitor."""
-
-    def block_rows(ckey, cell, keys, cells, unit) -> pa.RecordBatch:
-        # one row per class: the member's row where there is one, visits from its own row only
-        order = np.lexsort((cell < 0, ckey))
-        classes, head = np.unique(ckey[order], return_index=True)
-        rep = order[head]
-        owned = {}
-        for r in np.flatnonzero(cell >= 0):
-            owned.setdefault(ckey[r], []).append(np.frombuffer(keys[r], np.int64))
-        members = np.flatnonzero(cell[rep] >= 0)
-        held = [np.unique(np.concatenate(owned[classes[m]]))[: k + 1] for m in members]
-        by_cell = members[np.argsort(cell[rep[members]], kind="stable")]
-        held_at = {m: h for m, h in zip(members.tolist(), held)}
-        cell_ids, cell_start = np.unique(cell[rep[by_cell]], return_index=True)
-        cell_end = np.append(cell_start[1:], len(by_cell))
-        wanted = [np.frombuffer(cells[r], np.int32) for r in rep]
-        asker = np.repeat(np.arange(len(rep)), [len(w) for w in wanted])
-        target = np.concatenate(wanted) if wanted else np.zeros(0, np.int32)
+class _Members:
+    """The classes that one block holds: vectors by cell, and the smallest keys of each class."""
+
+    def __init__(self, rows: pa.Table, dim: int, k: int) -> None:
+        ckey, order = np.unique(rows.column("ckey").to_numpy(), return_inverse=True)
+        first = np.unique(order, return_index=True)[1]
+        held: list[list[np.ndarray]] = [[] for _ in ckey]
+        for at, raw in zip(order.tolist(), rows.column("keys").to_pylist()):
+            held[at].append(np.frombuffer(raw, np.int64))
+        self.held = [np.unique(np.concatenate(h))[: k + 1] if len(h) > 1 else h[0] for h in held]
+        self.ckey, self.dim, self.k = ckey, dim, k
+        cell = rows.column("cell").to_numpy()[first]
+        self.vectors = _matrix(rows.column("vec"), dim)[first]
+        self.visits = [np.frombuffer(rows.column("cells")[int(r)].as_py(), np.int32) for r in first]
+        self.by_cell = np.argsort(cell, kind="stable").astype(np.int32)
+        self.cells, self.start = np.unique(cell[self.by_cell], return_index=True)
+        self.end = np.append(self.start[1:], len(ckey))
+        self.low = np.append([h[0] for h in self.held], 0)  # the last entry stands for "none"
+        self.single = np.append([len(h) == 1 for h in self.held], True)
+
+    def search(self, ckey: np.ndarray, unit: np.ndarray, visits: list[np.ndarray], home: bool) -> pa.RecordBatch:
+        """The best k classes of each visitor among the cells it visits; memory is visitors * k."""
+        k = self.k
+        asker = np.repeat(np.arange(len(ckey)), [len(v) for v in visits])
+        target = np.concatenate(visits) if visits else np.zeros(0, np.int32)
         by_target = np.argsort(target, kind="stable")
         asker, target = asker[by_target], target[by_target]
-        vectors = unit[rep]
-        # the best k so far of every visitor; each cell's best are merged in, so memory stays n * k
-        best_s = np.full((len(rep), k), -2, np.float32)
-        best_m = np.full((len(rep), k), -1, np.int32)
-        for c, lo, hi in zip(cell_ids, cell_start, cell_end):
+        best_s = np.full((len(ckey), k), -2, np.float32)
+        best_m = np.full((len(ckey), k), -1, np.int32)
+        for c, lo, hi in zip(self.cells, self.start, self.end):
             a, b = np.searchsorted(target, c, "left"), np.searchsorted(target, c, "right")
-            m = by_cell[lo:hi].astype(np.int32)
+            m = self.by_cell[lo:hi]
             step = max(1, 2_000_000 // max(1, len(m)))
             for s in range(a, b, step):
                 q = asker[s : min(b, s + step)]
-                score = vectors[q] @ vectors[m].T
-                score[q[:, None] == m[None, :]] = -2
+                score = unit[q] @ self.vectors[m].T
+                score[ckey[q][:, None] == self.ckey[m][None, :]] = -2
                 names = np.broadcast_to(m, score.shape)
                 if len(m) > k:
                     top = np.argpartition(-score, k - 1, axis=1)[:, :k]
@@ -231,41 +234,47 @@ def _search(dim: int, k: int):
                 both_s, both_m = np.concatenate([best_s[q], score], 1), np.concatenate([best_m[q], names], 1)
                 top = np.argpartition(-both_s, k - 1, axis=1)[:, :k]
                 best_s[q], best_m[q] = np.take_along_axis(both_s, top, 1), np.take_along_axis(both_m, top, 1)
-        low = np.zeros(len(rep) + 1, np.int64)  # the last entry stands for "none"
-        single = np.ones(len(rep) + 1, bool)
-        for m, h in held_at.items():
-            low[m], single[m] = h[0], len(h) == 1
-        by_key = np.argsort(low[best_m], axis=1, kind="stable")
+        best_m = np.where(best_s > -2, best_m, -1)
+        by_key = np.argsort(self.low[best_m], axis=1, kind="stable")
         best_s, best_m = np.take_along_axis(best_s, by_key, 1), np.take_along_axis(best_m, by_key, 1)
         by_score = np.argsort(-best_s, axis=1, kind="stable")
         best_s, best_m = np.take_along_axis(best_s, by_score, 1), np.take_along_axis(best_m, by_score, 1)
-        plain, filled = single[best_m].all(axis=1), (best_s > -2).sum(axis=1)
-        ids, scores, mine = [], [], []
-        for r in range(len(rep)):
+        plain, filled = self.single[best_m].all(axis=1), (best_s > -2).sum(axis=1)
+        ids, scores = [], []
+        for r in range(len(ckey)):
             near, value = best_m[r, : filled[r]], best_s[r, : filled[r]]
             if plain[r]:
-                ids.append(low[near].tobytes())
+                ids.append(self.low[near].tobytes())
                 scores.append(value.tobytes())
             else:  # classes with several keys: all of them, up to the k nearest
-                names = [held_at[m] for m in near.tolist()]
+                names = [self.held[m] for m in near.tolist()]
                 ids.append(np.concatenate(names)[: 2 * k].tobytes())
                 scores.append(np.repeat(value, [len(x) for x in names])[: 2 * k].tobytes())
-            mine.append(held_at[r].tobytes() if r in held_at else b"")
-        return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(mine, pa.binary()), pa.array(ids, pa.binary()), pa.array(scores, pa.binary())], names=["ckey", "mine", "ids", "scores"])
+        mine = [h.tobytes() for h in self.held[: len(ckey)]] if home else [b""] * len(ckey)
+        return pa.RecordBatch.from_arrays([pa.array(ckey), pa.array(mine, pa.binary()), pa.array(ids, pa.binary()), pa.array(scores, pa.binary())], names=["ckey", "mine", "ids", "scores"])
+
+
+def _search(dim: int, k: int):
+    """Exact cosines between the visitors and the members of one block; members come first, visitors stream past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        block = t.column("block").to_numpy()
-        ckey, cell = t.column("ckey").to_numpy(), t.column("cell").to_numpy()
-        keys, cells = t.column("keys").to_pylist(), t.column("cells").to_pylist()
-        unit = _matrix(t.column("vec"), dim)
-        del t, got
-        for b in np.unique(block):
-            rows = np.flatnonzero(block == b)
-            yield block_rows(ckey[rows], cell[rows], [keys[r] for r in rows], [cells[r] for r in rows], unit[rows])
+        held, members = [], None
+        for b in batches:
+            at_home = int((b.column("cell").to_numpy() >= 0).sum())
+            if at_home:
+                held.append(b.slice(0, at_home))
+            if at_home < b.num_rows:
+                if members is None:
+                    members = _Members(pa.Table.from_batches(held), dim, k) if held else False
+                    held = []
+                    if members:
+                        yield members.search(members.ckey, members.vectors, members.visits, True)
+                if members:
+                    rest = b.slice(at_home)
+                    yield members.search(rest.column("ckey").to_numpy(), _matrix(rest.column("vec"), dim), [np.frombuffer(c, np.int32) for c in rest.column("cells").to_pylist()], False)
+        if members is None and held:
+            members = _Members(pa.Table.from_batches(held), dim, k)
+            yield members.search(members.ckey, members.vectors, members.visits, True)
 
     return run
 
@@ -311,14 +320,17 @@ def nearest(vectors: DataFrame, key: str, embedding: str, k: int = 10, dim: int
     share = min(1.0, sample / n)
     drawn = rows.where(F.pmod(F.xxhash64("ckey", "key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").toArrow()
     points = _matrix(drawn.column("vec"), dim) if drawn.num_rows else _matrix(rows.limit(1).select("vec").toArrow().column("vec"), dim)
-    count = int(np.clip(round((n / CELL_ROWS) ** 0.5), 1, MOST_CENTROIDS))
+    wanted = probe + int(PROBE_SHARE * n)
+    # cells large enough that a query visits about CELL_ROWS of them, however many candidates it wants
+    count = int(np.clip(round((n / max(CELL_ROWS, wanted / CELL_ROWS)) ** 0.5), 1, MOST_CENTROIDS))
     ix = Index(fit_centroids(points[:, : dim // 2], count), fit_centroids(points[:, dim // 2 :], count))
     sent = spark.sparkContext.broadcast(ix)
     counts = {r.cell: r["count"] for r in rows.mapInArrow(_with_cells(sent, dim), "cell int").groupBy("cell").count().collect()}
     ix.lay_out(counts, BLOCK_ROWS)
     laid = spark.sparkContext.broadcast(ix)
-    routed = rows.mapInArrow(_route(laid, dim, k, probe + int(PROBE_SHARE * n)), "block int, ckey long, cell int, keys binary, cells binary, vec binary")
-    found = routed.repartitionById(ix.n_blocks, F.col("block")).mapInArrow(_search(dim, k), "ckey long, mine binary, ids binary, scores binary")
+    routed = rows.mapInArrow(_route(laid, dim, k, wanted), "block int, ckey long, cell int, keys binary, cells binary, vec binary")
+    blocks = routed.repartitionById(ix.n_blocks, F.col("block")).sortWithinPartitions(F.col("cell") < 0)
+    found = blocks.mapInArrow(_search(dim, k), "ckey long, mine binary, ids binary, scores binary")
     lists = found.repartition("ckey").sortWithinPartitions("ckey").mapInArrow(_merge(k), "ckey long, ids array<long>, scores array<float>")
     own = rows.select("key", "ckey").dropDuplicates(["key"]).join(lists, "ckey")
     others = F.filter(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("cosine")), lambda x: x["id"] != F.col("key"))

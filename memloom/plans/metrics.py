@@ -57,7 +57,7 @@ def a22_diagnosis(spark, folder):
 
 def a23_regressions(spark, folder):
     s = _scored(spark, folder).groupBy("conv_id", "fact_id", "agent_name").agg(F.max("passed").alias("passed"))
-    a = s.where("agent_name = 'cogcanvas' and not passed").select("conv_id", "fact_id")
+    a = s.where("agent_name = 'native' and not passed").select("conv_id", "fact_id")
     b = s.where("agent_name = 'rag' and passed").select("conv_id", "fact_id")
     return a.join(b, ["conv_id", "fact_id"])
 
@@ -114,7 +114,7 @@ ORACLE = {
     "a12_macro_micro": _SC + " SELECT 'macro' AS kind, 'all' AS category, round(avg(r), 6) AS rate FROM (SELECT avg(passed::INT) AS r FROM s GROUP BY conv_id) UNION ALL SELECT 'micro', fact_type, round(avg(passed::INT), 6) FROM s GROUP BY fact_type",
     "a16_cluster_performance": _SC + f", {Q.FACTS}, g AS (SELECT coalesce(CASE WHEN fct.fact_id IS NULL THEN NULL ELSE coalesce(difficulty, 'none') END, 'unknown') AS cluster, count(*) AS n, round(avg(passed::INT), 6) AS recall, round(avg(fuzzy_score), 6) AS mean_fuzzy FROM s LEFT JOIN fct ON fct.fact_id = s.fact_id GROUP BY 1) SELECT *, round(1 - recall, 6) AS vulnerability, round(1 + round(1 - recall, 6), 6) AS weight FROM g",
     "a22_diagnosis": _SC + " SELECT agent_name, CASE WHEN trim(lower(coalesce(answer, '')), ' ') = '' THEN 'NO_INFO' WHEN contains(lower(coalesce(answer, '')), 'no information') OR contains(lower(coalesce(answer, '')), 'not mentioned') OR contains(lower(coalesce(answer, '')), 'i don''t know') THEN 'CLAIMED_NO_INFO' WHEN f1 > 0.3 THEN 'PARTIAL' WHEN f1 > 0 THEN 'LOW' ELSE 'TOTAL_MISS' END AS cause, count(*) AS n FROM s WHERE NOT passed GROUP BY 1, 2",
-    "a23_regressions": _SC + ", g AS (SELECT conv_id, fact_id, agent_name, bool_or(passed) AS passed FROM s GROUP BY 1, 2, 3) SELECT a.conv_id, a.fact_id FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.fact_id = b.fact_id WHERE a.agent_name = 'cogcanvas' AND NOT a.passed AND b.agent_name = 'rag' AND b.passed",
+    "a23_regressions": _SC + ", g AS (SELECT conv_id, fact_id, agent_name, bool_or(passed) AS passed FROM s GROUP BY 1, 2, 3) SELECT a.conv_id, a.fact_id FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.fact_id = b.fact_id WHERE a.agent_name = 'native' AND NOT a.passed AND b.agent_name = 'rag' AND b.passed",
     "a25_type_share": f"WITH {Q.ART} SELECT obj_type, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM art GROUP BY 1",
     "a26_threshold_sweep": _SC + " SELECT config, agent_name, round(avg((f1 >= bar)::INT), 6) AS rate FROM s, (VALUES ('low', 0.3), ('default', 0.5), ('high', 0.7), ('very_high', 0.8)) c(config, bar) GROUP BY 1, 2",
     "a28_case_split": _SC + " SELECT fact_type, passed, count(*) AS n, round(avg(f1), 6) AS mean_f1, round(avg(latency_ms) FILTER (WHERE latency_ms >= 0), 4) AS mean_latency FROM s GROUP BY 1, 2",

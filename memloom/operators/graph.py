@@ -8,6 +8,8 @@ is taken, so results do not depend on the order of rows.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,18 +43,30 @@ def neighbours(e: DataFrame) -> DataFrame:
     return out.unionByName(incoming).groupBy("conv_id", "id", "neighbour").agg(F.min("ord").alias("ord"))
 
 
-def walk(e: DataFrame, starts: DataFrame, hops: int, both_ways: bool = False) -> DataFrame:
-    """(conv_id, start, node, hops, path): nodes within ``hops`` of each start (conv_id, start), without the start; one shortest path each."""
+def walk(e: DataFrame, starts: DataFrame, hops: int | None, both_ways: bool = False) -> DataFrame:
+    """(conv_id, start, node, hops, path): nodes within ``hops`` of each start (conv_id, start), without the start; one shortest path each.
+
+    Without ``hops`` it goes on until no new node is found. Each hop is then written to the
+    shared folder, and all hops so far once more every 16, so the plan does not grow with the depth.
+    """
     steps = e.select("conv_id", F.col("src").alias("a"), F.col("dst").alias("b"))
     if both_ways:
         steps = steps.unionByName(e.select("conv_id", F.col("dst").alias("a"), F.col("src").alias("b")))
     steps = steps.distinct()
     seen = starts.select("conv_id", "start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.col("start").alias("path")).distinct()
+    if hops is None:
+        steps, seen = materialize(steps, "steps"), materialize(seen, "seen")
     frontier = seen
-    for hop in range(1, hops + 1):
+    for hop in count(1) if hops is None else range(1, hops + 1):
         reached = frontier.join(steps.withColumnRenamed("a", "node"), ["conv_id", "node"]).groupBy("conv_id", "start", F.col("b").alias("node")).agg(F.min(F.concat_ws(">", "path", "b")).alias("path"))
         frontier = reached.join(seen.select("conv_id", "start", "node"), ["conv_id", "start", "node"], "left_anti").select("conv_id", "start", "node", F.lit(hop).alias("hops"), "path")
+        if hops is None:
+            frontier = materialize(frontier, f"hop{hop}")
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
+        if hops is None and hop % 16 == 0:
+            seen = materialize(seen, "seen")
     return seen.where("hops > 0")
 
 

@@ -22,14 +22,12 @@ def g5_neighbours(spark, folder):
 
 def g6_khop(spark, folder):
     a = artifacts(spark, folder)
-    starts = a.where("obj_type = 'decision'").select("conv_id", F.col("id").alias("start"))
-    return G.walk(G.edges(a), starts, 2, both_ways=True).select("start", "node", "hops")
+    return G.walk(G.edges(a), a.select("conv_id", F.col("id").alias("start")), 2, both_ways=True).select("start", "node", "hops")
 
 
 def g7_shortest_paths(spark, folder):
     a = artifacts(spark, folder)
-    starts = a.where("obj_type = 'event'").select("conv_id", F.col("id").alias("start"))
-    return G.walk(G.mirrored(G.edges(a)), starts, 4).select("start", "node", "hops", "path")
+    return G.walk(G.mirrored(G.edges(a)), a.select("conv_id", F.col("id").alias("start")), None).select("start", "node", "hops", "path")
 
 
 def g8_roots(spark, folder):

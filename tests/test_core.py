@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from memloom.functions import temporal as T
 from memloom.functions import text as X
 from memloom.functions import vectors as V
@@ -11,6 +12,9 @@ from memloom.operators import metrics as M
 from memloom.operators import retrieval as R
 from memloom.operators import selection as P
 from memloom.operators import turns as W
+from memloom.plans.texts import artifacts
+
+SF = "/root/testdata/sf0.001"
 
 
 def one(spark, column, **values):
@@ -88,6 +92,43 @@ def test_walks(spark):
     assert (got.hops, got.path) == (2, "0>1>2")
 
 
+def _bfs(steps, start, hops=None):
+    """{node: (hops, path)}: shortest, of these the path that sorts first."""
+    best, layer, hop = {start: (0, start)}, {start: start}, 0
+    while layer and hop != hops:
+        hop, ahead = hop + 1, {}
+        for node, path in layer.items():
+            for b in steps.get(node, ()):
+                if b not in best:
+                    ahead[b] = min(ahead.get(b, f"{path}>{b}"), f"{path}>{b}")
+        best |= {b: (hop, path) for b, path in ahead.items()}
+        layer = ahead
+    return {b: x for b, x in best.items() if b != start}
+
+
+def test_walk_without_a_limit(spark):
+    pairs = [(f"n{k:02}", f"n{k + 1:02}") for k in range(18)] + [("n18", "n10"), ("n03", "a"), ("a", "n05"), ("n00", "n00")]
+    steps = {}
+    for a, b in pairs:
+        steps.setdefault(a, []).append(b)
+    starts = spark.createDataFrame([("c", "n00"), ("c", "n12")], "conv_id string, start string")
+    got = {(r.start, r.node): (r.hops, r.path) for r in G.walk(_edges(spark, pairs), starts, None).collect()}
+    assert got == {(s, b): x for s in ("n00", "n12") for b, x in _bfs(steps, s).items()} and got["n00", "n18"][0] == 18
+
+
+def test_paths_and_khops_from_every_artifact(spark):
+    a = artifacts(spark, SF)
+    ids, e = [r.id for r in a.select("id").collect()], G.edges(a)
+    for name, rows, hops, both in (("g7_shortest_paths", G.mirrored(e).collect(), None, False), ("g6_khop", e.collect(), 2, True)):
+        steps = {}
+        for r in rows:
+            steps.setdefault(r.src, set()).add(r.dst)
+            if both:
+                steps.setdefault(r.dst, set()).add(r.src)
+        got = sorted((r.start, r.node, r.hops) for r in entry.queries()[name](spark, SF).collect())
+        assert got == sorted((s, b, x[0]) for s in ids for b, x in _bfs(steps, s, hops).items()), name
+
+
 def test_levels_and_cycles(spark):
     nodes = spark.createDataFrame([("c", str(k)) for k in range(6)], "conv_id string, id string")
     got = {r.id: r.level for r in G.levels(nodes, _edges(spark, [("0", "1"), ("0", "2"), ("1", "3"), ("2", "3"), ("4", "5"), ("5", "4")])).collect()}

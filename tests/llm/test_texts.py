@@ -1,3 +1,7 @@
+import re._constants as C
+import re._parser as P
+from itertools import product
+
 import pytest
 
 from memloom.llm import endings, pairs, residue
@@ -81,6 +85,52 @@ def test_residue(spark):
     assert residue.residue_documents(df.limit(0)).count() == 0
 
 
+GAP = "\0"  # stands for whatever a rule leaves open
+
+
+def _forms(items):
+    """Every text a parsed rule can match, with gaps."""
+    out = [""]
+    for op, arg in items:
+        if op is C.LITERAL:
+            got = [chr(arg).lower()]
+        elif op is C.IN:
+            got = [chr(a).lower() for _, a in arg] if all(o is C.LITERAL for o, _ in arg) else [GAP]
+        elif op is C.BRANCH:
+            got = [f for branch in arg[1] for f in _forms(branch)]
+        elif op is C.SUBPATTERN:
+            got = _forms(arg[3])
+        elif op is C.MAX_REPEAT:
+            least, most, item = arg
+            once = _forms(item)
+            got = [""] * (least == 0) + (once if most == 1 else ["".join(p) + GAP for p in product(once, repeat=max(least, 1))] + ["".join(p) for p in product(once, repeat=max(least, 1))])
+        elif op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+            got = [""]
+        else:
+            assert op in (C.ANY, C.NOT_LITERAL), op
+            got = [GAP]
+        out = list(dict.fromkeys(a + b for a in out for b in dict.fromkeys(got)))
+    return out
+
+
+def test_every_phrase_rule_implies_a_trigger():
+    assert not [t for t in residue.TRIGGERS if t in "<slot> <addr> <id>" or "0" in t]
+    for kind, rule in [*residue.STRONG.items(), ("weak", residue.WEAK)]:
+        assert not [f for f in _forms(P.parse(rule.pattern, rule.flags)) if not any(t in f for t in residue.TRIGGERS)], kind
+
+
+@pytest.mark.parametrize("text,kind", [
+    ("Write a short note in the space below.", "filler"), ("Type a short reply in the space provided", "filler"), ("Page\u00a0not \u2003found", "error"), ("You have been  logged\tout", "error"),
+    ("More coming  soon", "filler"), ("Try  again", "weak"), ("Acceſs denıed", "error"), ("Unter ganz neuen Dingen stehen hier nur " + "lorem ipsum dolor sit amet " * 8, "filler"),
+])
+def test_phrase_rules_see_what_the_gate_passes(text, kind):
+    assert kind in [k for k, _ in residue.messages(text)]
+
+
+def test_latin_reads_all_words():
+    assert residue.latin("one two three four " + "dolor sit amet elit " * 5, residue.BASE_WORDS)
+
+
 def test_weak_messages_need_recurrence(spark):
     df = spark.createDataFrame([(k, "Please reload the page.", f"s{k % 2}") for k in range(3)], "doc_id long, text string, source string")
     assert residue.residue_documents(df).count() == 3

@@ -2,8 +2,9 @@
 
 Method: prefix self-join. All distinct values, stripped of whatever was put after the
 stop, are sorted over explicit range cut points; a value is a strict prefix of a longer
-copy elsewhere exactly if the next different value in that order starts with it. Each
-range also sees the cut point that follows it, so no pair is lost at a border. The same
+copy elsewhere exactly if a value in the run that follows it in that order goes on inside
+a word or sentence. A value that begins the cut point after its range is also sent to the
+ranges its run reaches, so no pair is lost at a border. The same
 join runs on masked sentence openings (names, figures and codes masked): an unfinished
 last sentence is recognised as the beginning of a longer sentence used elsewhere.
 
@@ -44,6 +45,7 @@ SPLIT = re.compile(r"(?<=[.!?])(?<!\b\d\.)(?<!\b\d\d\.)\s+|(?<=[.!?])\s+(?!(?:Ja
 ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+\S")
 LINK = re.compile(r"https?://\S+$|\S+@\S+\.\S+$")
 ALNUM = re.compile(r"[^\W_]")
+INSIDE = re.compile(r"[^\W_]|,? [^\W_]")
 CODE = re.compile(r"\b[A-Z]{2,4}-\d{2,}$")
 TOKEN = re.compile(r"[\u3400-\u9fff]|[^\W_]+(?:['’-][^\W_]+)*|[$,:]")
 NAME = re.compile(r"^[A-ZÀ-Þ][\w'’-]*$")
@@ -163,36 +165,39 @@ def _place(cuts: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             once = list(dict.fromkeys(b.column(0).to_pylist()))  # copies need no second row
-            at = [bisect.bisect_right(keys, s.encode()) for s in once]
-            yield pa.RecordBatch.from_arrays([pa.array(once, pa.string()), pa.array(at, pa.int32())], names=["stem", "part"])
+            stems, at = [], []
+            for s in once:
+                p = bisect.bisect_right(keys, s.encode())
+                stems.append(s)
+                at.append(p)
+                while p < len(cuts) and cuts[p].startswith(s):  # longer copies lie in the next range too
+                    p += 1
+                    stems.append(s)
+                    at.append(p)
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(at, pa.int32())], names=["stem", "part"])
 
     return run
 
 
-def _strict_prefixes(cuts: list[str]):
-    """Streams sorted stems; passes on those that the next different stem continues inside a word or sentence."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, part = None, None
-
-        def continues(v: str, w: str) -> bool:
-            return w.startswith(v) and re.match(r"[^\W_]|,? [^\W_]", w[len(v) :]) is not None
-
-        for b in batches:
-            out = []
-            for stem, p in zip(b.column("stem").to_pylist(), b.column("part").to_pylist()):
-                if stem == last:
-                    continue
-                if last is not None:
-                    nxt = stem if p == part else cuts[part]
-                    if continues(last, nxt):
-                        out.append(last)
-                last, part = stem, p
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["stem"])
-        if last is not None and part < len(cuts) and continues(last, cuts[part]):
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.string())], names=["stem"])
-
-    return run
+def _strict_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams sorted stems; passes on those that a later stem continues inside a word or sentence."""
+    last, part = None, None
+    begun: list[str] = []  # prefixes of the last stem, each of the next, that nothing has continued so far
+    for b in batches:
+        out = []
+        for stem, p in zip(b.column("stem").to_pylist(), b.column("part").to_pylist()):
+            if p != part:
+                begun, last, part = [], None, p
+            if stem == last:
+                continue
+            while begun and not stem.startswith(begun[-1]):
+                begun.pop()
+            left = []
+            for v in begun:
+                (out if INSIDE.match(stem, len(v)) else left).append(v)
+            begun = [*left, stem]
+            last = stem
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["stem"])
 
 
 def strict_prefixes(values: DataFrame, column: str = "stem", least: int = 8, sample: int = 5_000) -> DataFrame:
@@ -203,7 +208,7 @@ def strict_prefixes(values: DataFrame, column: str = "stem", least: int = 8, sam
     drawn = sorted((r.stem for r in stems.orderBy(F.xxhash64("stem")).limit(sample).collect()), key=str.encode)
     cuts = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}, key=str.encode) if drawn else []
     placed = stems.mapInArrow(_place(cuts), "stem string, part int")
-    return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "stem").mapInArrow(_strict_prefixes(cuts), "stem string")
+    return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "stem").mapInArrow(_strict_prefixes, "stem string").distinct()
 
 
 def endings(values: DataFrame) -> DataFrame:
@@ -211,7 +216,7 @@ def endings(values: DataFrame) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in ("tab", "rec_key", "field_name", "source", "verdict", "stem", "opening"))
     texts = values.select("tab", "rec_key", "field_name", "source", "text").dropDuplicates(["tab", "rec_key", "field_name"])
     judged = keep(texts.mapInArrow(_judge_rows, schema))
-    longer = strict_prefixes(judged).distinct()
+    longer = strict_prefixes(judged)
     known = values.select("text").mapInArrow(_openings, "opening string").distinct()
     unsure = judged.where("verdict <> 'whole'").join(longer.withColumn("longer", F.lit(True)), "stem", "left")
     settled = unsure.join(known.withColumn("known", F.lit(True)), "opening", "left")

@@ -48,6 +48,18 @@ def test_prefix_join_is_exact_over_borders(spark):
     assert got <= want and {"alpha beta", "alpha bet"} <= got and len(want - got) <= 2
 
 
+def test_prefix_join_reads_the_whole_run(spark):
+    import re
+
+    values = ["- The budget is", "- The budget is $500 a month", "- The budget is about 500", "- The budget is.", "- The plan"]
+    values += [f"run of it{c}{k:03}" for k in range(150) for c in ("!", "-", " (")] + ["run of it", "run of it was long", "run of"]
+    df = spark.createDataFrame([(v,) for v in values], "stem string")
+    want = sorted(v for v in set(values) if any(w.startswith(v) and re.match(r"[^\W_]|,? [^\W_]", w[len(v):]) for w in values if w != v))
+    assert "- The budget is" in want and "run of it" in want
+    for least in (1, 8):
+        assert sorted(r.stem for r in endings.strict_prefixes(df, least=least).collect()) == [v for v in want if len(v) >= least]
+
+
 PAIRS = [
     ("What is the limit?", None, "empty"), ("What is the limit?", "<br>", "empty"), ("What is the limit?", "No.", None),
     ("What is the limit?", "WHAT IS THE LIMIT?", "copy"), ("What is the limit?", "You asked: What is the limit?", "copy"),

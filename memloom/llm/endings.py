@@ -37,14 +37,15 @@ ON_PURPOSE = re.compile(r"(and so on|and so forth|and more|et cetera|etc|usw|und
 BLANK = "\\s\u200b\u200c\u200d\u2060\ufeff\u00ad"
 BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 LETTERS_AT_END = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-TAIL = re.compile(rf"(?:[{BLANK}]*(?:\.{{2,}}|…+|\ufffd+|\[(?:\.\.\.|…|cut|truncated|more)\]|\((?:\.\.\.|…|cut|truncated|more)\)|<(?:cut|truncated)>|[-–—]{{2,}}))+[{BLANK}\"'”’»)\]]*$", re.I)
+TAIL = re.compile(rf"(?:[{BLANK}]*+(?:\.{{2,}}+|…++|\ufffd++|\[(?:\.\.\.|…|cut|truncated|more)\]|\((?:\.\.\.|…|cut|truncated|more)\)|<(?:cut|truncated)>|[-–—]{{2,}}+))+[{BLANK}\"'”’»)\]]*$", re.I)
+IN_TAIL = BLANKS + ".…\ufffd[](){}<>-–—\"'”’»" + "acdemnortuACDEMNORTU"  # every character TAIL can match
 CLOSERS = re.compile(rf"[{BLANK}\"'”’»)\]*_`]+$")
 FULL_STOP = re.compile(r"[.!?。！？；;]$")
 # fixed values: month names that follow a day with a full stop
 SPLIT = re.compile(r"(?<=[.!?])(?<!\b\d\.)(?<!\b\d\d\.)\s+|(?<=[.!?])\s+(?!(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b)|(?<=[。！？])\s*|\n+")
 ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+\S")
 LINK = re.compile(r"https?://\S+$|\S+@\S+\.\S+$")
-ALNUM = re.compile(r"[^\W_]")
+ENOUGH = re.compile(r"(?:(?:[^\w<]|_)*+[^\W_]){12}")  # before any markup more letters or digits than a stand-in has
 INSIDE = re.compile(r"[^\W_]|,? [^\W_]")
 CODE = re.compile(r"\b[A-Z]{2,4}-\d{2,}$")
 TOKEN = re.compile(r"[\u3400-\u9fff]|[^\W_]+(?:['’-][^\W_]+)*|[$,:]")
@@ -57,8 +58,8 @@ def bare(text: str | None) -> str:
     """What is left of a value without white space, invisible characters, punctuation, markup and stand-ins."""
     if text is None:
         return ""
-    if len(text) > 80 and text[0] not in "<[({" and ALNUM.search(text):
-        return text  # longer than any stand-in
+    if ENOUGH.match(text):
+        return text
     plain = re.sub(r"<[^<>]{0,40}>", " ", text)
     plain = re.sub(r"[\W_]+", " ", plain).strip()
     core = re.sub(r"[\s\[\](){}<>\"'*.]+", " ", text).strip().lower()
@@ -77,13 +78,16 @@ def skeleton(fragment: str) -> list[str]:
     return out
 
 
-def opening_keys(part: str) -> list[str]:
-    """The opening keys of a finished sentence of six tokens or more; only its beginning is read."""
-    head = part[:160]
-    tokens = skeleton(head)
-    if len(tokens) < 6 or (len(tokens) < 7 and len(head) < len(part)):
-        return []
-    return [k for n in range(1, 6) if (k := opening_key(tokens, n))]
+HEAD = 80  # characters of a sentence that mostly hold the tokens its keys need
+
+
+def opening_keys(part: str) -> tuple[list[str], bool]:
+    """The opening keys of a finished sentence of six tokens or more, and whether all sentences with its first HEAD characters have the same."""
+    tokens = skeleton(part[:HEAD])
+    settled = len(part) < HEAD or len(tokens) >= 7  # the last token of a beginning may itself be cut
+    if not settled:
+        tokens = skeleton(part)
+    return [k for n in range(1, 6) if (k := opening_key(tokens, n))] if len(tokens) >= 6 else [], settled
 
 
 def opening_key(tokens: list[str], n: int) -> str:
@@ -98,7 +102,7 @@ def judge(text: str | None) -> tuple[str, str, str]:
     if not bare(text):
         return "whole", "", ""
     stem = text.rstrip(BLANKS)
-    marked = TAIL.search(stem, max(0, len(stem) - 80)) if stem[-1:] not in LETTERS_AT_END else None
+    marked = TAIL.search(stem, len(stem.rstrip(IN_TAIL))) if stem[-1:] not in LETTERS_AT_END else None
     if marked:
         body = stem[: marked.start()]
         if not bare(body) or ON_PURPOSE.search(body):
@@ -146,13 +150,15 @@ def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column(0).to_pylist():
             for part in SPLIT.split(text) if text else ():
                 part = part.strip()
-                if part[:80] in heads or not FULL_STOP.search(part[-1:]):
+                if part[:HEAD] in heads or not FULL_STOP.search(part[-1:]):
                     continue
                 if len(heads) > 500_000:  # caches of what this task has sent
                     heads.clear()
                     seen.clear()
-                heads.add(part[:80])
-                for key in opening_keys(part):
+                keys, settled = opening_keys(part)
+                if settled:
+                    heads.add(part[:HEAD])
+                for key in keys:
                     if key not in seen:
                         seen.add(key)
                         new.append(key)

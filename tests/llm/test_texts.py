@@ -48,6 +48,22 @@ def test_prefix_join_is_exact_over_borders(spark):
     assert got <= want and {"alpha beta", "alpha bet"} <= got and len(want - got) <= 2
 
 
+def test_long_values_are_read_whole():
+    import pyarrow as pa
+
+    assert max(sum(c.isalnum() for c in s) for s in endings.STAND_INS) < 12
+    markup = "<br class='abcdef'>" * 6
+    for text in (" " + markup, "\n.. " + markup, "n/a" + " ." * 50, "null" + "-" * 90):
+        assert not endings.bare(text), text
+    for tail in ("." * 120, "-" * 101, " ..." * 40, "... [truncated]" * 9, "..." + "\"'" * 60):
+        assert endings.judge("It works. The next part of the lo" + tail)[:2] == ("cut", "It works. The next part of the lo"), tail
+    long, same = "x" * 200, "We met " + "y" * 80
+    parts = [f"We {long} saw it in the old town.", f"{same} one of us in the town.", f"{same} and so it is in the town."]
+    keys = pa.RecordBatch.from_pydict({"text": parts})
+    got = set(next(endings._openings(iter([keys])))["opening"].to_pylist())
+    assert got == {k for p in parts for n in range(1, 6) if (k := endings.opening_key(endings.skeleton(p), n))}
+
+
 def test_prefix_join_reads_the_whole_run(spark):
     import re
 

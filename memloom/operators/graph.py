@@ -78,19 +78,21 @@ def without_outgoing(nodes: DataFrame, e: DataFrame) -> DataFrame:
     return nodes.join(e.select("conv_id", F.col("src").alias("id")), ["conv_id", "id"], "left_anti")
 
 
-def levels(nodes: DataFrame, e: DataFrame, most: int = 100) -> DataFrame:
+def levels(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """(conv_id, id, level) by peeling nodes without open predecessors; nodes on or behind a cycle get null.
 
-    Each round is written to the shared folder, so the plan does not grow with the depth.
+    Each round is written to the shared folder, and all levels so far once more every 16, so the plan does not grow with the depth.
     """
     left = nodes.select("conv_id", "id").distinct()
     steps = e.select("conv_id", "src", "dst").distinct()
     done = None
-    for level in range(most):
+    for level in count():
         free = materialize(without_incoming(left, steps).withColumn("level", F.lit(level)), f"level{level}")
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
+        if level % 16 == 15:
+            done = materialize(done, "done")
         left = left.join(free, ["conv_id", "id"], "left_anti")
         steps = steps.join(free.select("conv_id", F.col("id").alias("src")), ["conv_id", "src"], "left_anti")
         left, steps = materialize(left, "left"), materialize(steps, "steps")

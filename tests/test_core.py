@@ -135,6 +135,13 @@ def test_levels_and_cycles(spark):
     assert got == {"0": 0, "1": 1, "2": 1, "3": 2, "4": None, "5": None}
 
 
+def test_levels_of_a_long_chain(spark):
+    nodes = spark.createDataFrame([("c", f"n{k}") for k in range(103)] + [("c", "x"), ("c", "y")], "conv_id string, id string").coalesce(1)
+    e = _edges(spark, [(f"n{k}", f"n{k + 1}") for k in range(102)] + [("x", "y"), ("y", "x")]).coalesce(1)
+    got = {r.id: r.level for r in G.levels(nodes, e).collect()}
+    assert got == {f"n{k}": k for k in range(103)} | {"x": None, "y": None}
+
+
 def test_expansion_decay(spark):
     hits = spark.createDataFrame([("c", "q", "0", 1.0)], "conv_id string, q_id string, doc_id string, score double")
     chain = _edges(spark, [("0", "1"), ("1", "2"), ("2", "3")])

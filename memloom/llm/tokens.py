@@ -1,17 +1,22 @@
 """Problem 7: the whole corpus encoded by a public byte-level BPE tokenizer, and decoded again.
 
 Method: Spark higher-order functions. Texts are cut into words by the tokenizer's own
-pattern; distinct words of the corpus become byte arrays, and an ``aggregate`` folds the
-ranked merges over them, looking ranks up in a rank map that enters the plan as one
-literal (parsed from JSON when the plan is optimised: an array of small hash buckets, so
-a lookup is a hash, an index and a map of one or two entries). A word that is itself in the
-vocabulary needs no fold and is resolved in place. Bytes are held as strings of one
-character per byte (ISO-8859-1), which Spark slices and concatenates. Encoded words are joined back by word
-and put in order per document. Decoding concatenates the binary pieces of the ids.
+pattern; a word becomes a byte array, and an ``aggregate`` folds the ranked merges over
+it, looking ranks up in a rank map that enters the plan as one literal (parsed from JSON
+when the plan is optimised: an array of small hash buckets, so a lookup is a hash, an
+index and a map of one or two entries). Bytes are held as strings of one character per
+byte (ISO-8859-1), which Spark slices and concatenates. Decoding concatenates the binary
+pieces of the ids.
+
+Distinct words are folded, not occurrences. A first pass counts every word of the corpus;
+the HOT_WORDS most frequent ones are folded once and enter the second pass as a literal
+map of bounded size. Every other word is folded where it stands, once per document that
+has it: such words hardly recur, so this is about as much work as folding the corpus's
+distinct rest, and no text, word or id is shuffled. The bound moves work, never a result.
 
 The fold takes quadratic time in the bytes of a word. Words of more than FOLD_BYTES bytes
-(unbroken runs of letters, clauses of languages without blanks) are merged by a heap in an
-Arrow function instead, with the same ranks and result.
+(an unbroken run of a thousand letters) are merged by a heap in an Arrow function before
+the second pass, with the same ranks and result; the test data have none.
 
 Edge cases: null and empty texts give an empty list of ids; text is encoded as it is,
 strings that look like special tokens included; every document row comes out once;
@@ -24,18 +29,19 @@ import base64
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.session import tokenizer_path
+from memloom.session import keep, shuffle_partitions, tokenizer_path
 
 # fixed value: the pattern that splits text before the merges, in Java's syntax
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKETS = 1 << 14
-FOLD_BYTES = 28
+BUCKETS = 1 << 15
+HOT_WORDS = 65_536  # bound of the literal map of frequent words
+FOLD_BYTES = 1024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,8 +55,16 @@ def byte_string(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def _slot(piece: Column) -> Column:
-    return (F.crc32(piece.cast("binary")) % BUCKETS).cast("int") + 1
+def _look_up(table: Column) -> Callable[[Column], Column]:
+    """Of a text, its value in a table of hash buckets, null if it has none.
+
+    ``table`` should be a bound variable: a literal of this size is to stand in the plan once.
+    """
+
+    def value(piece: Column) -> Column:
+        return F.try_element_at(F.element_at(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int") + 1), piece)
+
+    return value
 
 
 class Ranks:
@@ -73,31 +87,32 @@ class Ranks:
             by_id[rank] = piece.hex()
         return F.from_json(F.lit(json.dumps(by_id)), "array<string>")
 
-    def rank(self, piece: Column) -> Column:
-        """The rank of a byte string, null if it is none."""
-        return F.try_element_at(F.element_at(self.table, _slot(piece)), piece)
 
 
-def fold(word: Column, ranks: Ranks) -> Column:
-    """Ids of the bytes of one word: ranked merges folded over its byte array."""
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once: a one-element array binds it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold(word: Column, rank: Callable[[Column], Column]) -> Column:
+    """Ids of the bytes of one word: ranked merges folded over its byte array. A word of the vocabulary is its own id."""
     size = F.length(word)
     start = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
 
     def merge(parts: Column, step: Column) -> Column:
-        seen = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: ranks.rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1)))))
+        seen = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(parts[i - 1], parts[i]))))
 
         def join(found: Column) -> Column:
             at = F.array_position(found["r"], found["least"]).cast("int")
             return F.when(
                 found["least"].isNotNull(),
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))), F.slice(parts, at + 2, F.greatest(F.size(parts) - at - 1, F.lit(0)))),
+                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(parts[at - 1], parts[at])), F.slice(parts, at + 2, F.greatest(F.size(parts) - at - 1, F.lit(0)))),
             ).otherwise(parts)
 
-        # one-element arrays bind the ranks and their minimum once
-        return F.element_at(F.transform(F.transform(F.array(seen), lambda r: F.struct(r.alias("r"), F.array_min(r).alias("least"))), join), 1)
+        return bound(bound(seen, lambda r: F.struct(r.alias("r"), F.array_min(r).alias("least"))), join)
 
-    parts = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, merge)
-    return F.transform(parts, ranks.rank)
+    merged = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, merge, lambda parts: F.transform(parts, lambda p: rank(p)))
+    return bound(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
 
 
 def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -128,33 +143,82 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def _long_words(ranks):
+def _merge_words(ranks):
+    """(word, ids) of words given as text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
         for b in batches:
-            ids = [merge_by_heap(w.encode("latin-1"), table) for w in b.column(0).to_pylist()]
+            ids = [merge_by_heap(w.encode(), table) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return run
 
 
-def encode(documents: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
-    """(key, ids): the ids of each text."""
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0))
+
+
+def _frequency(n: Column) -> Column:
+    """A logarithmic class of counts: fewer than 400 of them."""
+    return F.floor(F.log2(n) * 6).cast("int")
+
+
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """(word): the words of the highest frequency classes that together hold at most ``most`` words. Runs a histogram."""
+    held, least = 0, None
+    for r in sorted(counts.groupBy(_frequency(F.col("count")).alias("f")).count().collect(), key=lambda r: -r.f):
+        held += r["count"]
+        if held > most:
+            break
+        least = r.f
+    return counts.where(_frequency(F.col("count")) >= least if least is not None else F.lit(False)).select("word")
+
+
+class HotWords:
+    """Ids of frequent words, by the text of the word, as a literal of the plan."""
+
+    def __init__(self, ids: dict[str, list[int]]) -> None:
+        slots: list[dict[str, list[int]] | None] = [None] * BUCKETS
+        for word, got in ids.items():
+            at = zlib.crc32(word.encode()) % BUCKETS
+            slots[at] = {**(slots[at] or {}), word: got}
+        self.table = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,array<int>>>")
+
+
+def encode(documents: DataFrame, key: str, text: str, path: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
+    """(key, ids): the ids of each text. Runs a count of all words first."""
     spark = documents.sparkSession
     ranks = Ranks(path or tokenizer_path(spark, "byte_bpe_50k.tiktoken"))
-    words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0)), byte_string)
-    read = documents.select(F.col(key).alias("key"), words.alias("words"))
-    # each word with its place and, if it is in the vocabulary, its id
-    placed = read.select("key", F.transform("words", lambda w, i: F.struct(i.alias("at"), ranks.rank(w).alias("id"), w.alias("word"))).alias("p"))
-    known = placed.select("key", F.transform(F.filter("p", lambda x: x["id"].isNotNull()), lambda x: F.struct(x["at"].alias("at"), F.array(x["id"]).alias("ids"))).alias("p"))
-    rest = placed.select("key", F.explode(F.filter("p", lambda x: x["id"].isNull())).alias("x")).select("key", "x.at", "x.word")
-    distinct = rest.select("word").distinct()
-    short = distinct.where(F.length("word") <= FOLD_BYTES).select("word", fold(F.col("word"), ranks).alias("ids"))
-    long = distinct.where(F.length("word") > FOLD_BYTES).mapInArrow(_long_words(spark.sparkContext.broadcast(ranks.ranks)), "word string, ids array<int>")
-    merged = rest.join(short.unionByName(long), "word").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("q"))
-    both = known.join(merged, "key", "left")
-    ordered = F.array_sort(F.concat("p", F.coalesce("q", F.array().cast("array<struct<at:int,ids:array<int>>>"))))
-    return both.select("key", F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+    read = documents.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
+    counts = keep(read.select(F.explode("words").alias("word")).groupBy("word").count())
+    frequent = frequent_words(counts, hot_words)
+    hot = HotWords({r.word: r.ids for r in frequent.where(F.octet_length("word") <= FOLD_BYTES).repartition(shuffle_partitions(spark)).select("word", bound(ranks.table, lambda t: fold(byte_string(F.col("word")), _look_up(t))).alias("ids")).collect()})
+    long = counts.where(F.octet_length("word") > FOLD_BYTES).select("word")
+    has_long = bool(long.take(1))
+
+    def put(x: Column) -> Column:
+        words, seen, rank = x["words"], _look_up(x["hot"]), _look_up(x["ranks"])
+        known = (lambda w: F.coalesce(seen(w), F.try_element_at(x["given"], w))) if has_long else seen
+
+        def place(q: Column) -> Column:
+            return F.flatten(F.transform(q["got"], lambda ids, i: F.coalesce(ids, F.element_at(q["ids"], F.greatest(F.array_position(q["rare"], words[i]).cast("int"), F.lit(1))))))
+
+        def rest(got: Column) -> Column:
+            rare = F.array_distinct(F.filter(words, lambda w, i: got[i].isNull()))
+            return bound(rare, lambda r: F.struct(got.alias("got"), r.alias("rare"), F.transform(r, lambda w: bound(byte_string(w), lambda b: fold(b, rank))).alias("ids")))
+
+        return bound(bound(F.transform(words, lambda w: known(w)), rest), place)
+
+    tables = [hot.table.alias("hot"), ranks.table.alias("ranks")]
+    if not has_long:
+        return read.select("key", bound(F.struct("words", *tables), put).alias("ids"))
+    # every long word travels with its ids to the documents that have it
+    merged = long.mapInArrow(_merge_words(spark.sparkContext.broadcast(ranks.ranks)), "word string, ids array<int>")
+    wanted = read.select("key", F.explode(F.array_distinct(F.filter("words", lambda w: F.octet_length(w) > FOLD_BYTES))).alias("word"))
+    given = wanted.distinct().join(merged, "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("given"))
+    both = read.join(given, "key", "left")
+    return both.select("key", bound(F.struct("words", "given", *tables), put).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,21 +1,26 @@
 """Problem 4: the k most similar vectors of every vector, by cosine, within an accuracy loss.
 
 Method: inverted multi-index. Unit vectors are cut into two halves, each half quantised by
-its own centroids; a pair of centroids is a cell. For each vector the cells are traversed
-in order of summed distance with a heap until they hold ``probe`` vectors, and the vectors
-found there are reranked by their exact cosine. Centroids are fitted on a sample of about
-SAMPLE vectors; every vector is indexed and every vector is a query.
-
-Cells lie together in blocks of about BLOCK_ROWS vectors, neighbouring cells in one block
-where possible, and a vector is sent only to the blocks whose cells it visits. A cell with
-more vectors than a block is spread over several, each of which its visitors see. Equal
-vectors form one class: it is indexed once, with its k + 1 smallest keys, so a vector that
-a third of all records share costs one entry per input batch; members read the list of
-their class.
-
-Measured recall of the ten nearest, queries of ids divisible by 20 against brute force:
-see the README. The candidates grow with the collection (PROBE + PROBE_SHARE * n), since a
-fixed number loses recall as vectors are added.
+its own centroids; a pair of centroids is a cell. For each query the cells are traversed
+in order of summed distance with a heap until they hold ``probe`` vectors, or until
+``cells`` of them are visited, and the vectors found there are reranked by their exact
+cosine. Centroids are fitted on a sample of at most SAMPLE vectors; every vector is
+indexed, and every vector is a query unless ``queries`` says which are.
+
+Two ways of use. With ``cells`` and ``least`` the search is for neighbours of at least that
+cosine: a fixed number of small cells is visited, so the work per query does not grow with
+the collection; near vectors share a cell or lie in the next ones. Without them the k
+nearest are wanted however far they are; where vectors hardly cluster that needs a share of
+the collection (PROBE_SHARE), so such a search takes a stated set of queries.
+
+Cells lie together in blocks of about BLOCK_ROWS vectors. Centroids are numbered by
+recursive bisection along principal axes, so neighbouring cells mostly lie in one block,
+and a vector is sent only to the blocks whose cells it visits. A cell with more vectors than
+a block is spread over several, each of which its visitors see. Equal vectors form one
+class: it is indexed once, with its k + 1 smallest keys, so a vector that a third of all
+records share costs one entry per input batch; members read the list of their class.
+
+Measured recall against brute force: see the README.
 
 Ties in cosine go to the smaller key. Edge cases: null vectors, all-zero ones, ones of
 another length than ``dim`` and ones holding NaN or infinity take no part; a repeated key
@@ -30,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.session import keep
 
-SAMPLE, BLOCK_ROWS, CELL_ROWS, MOST_CENTROIDS, LLOYD = 10_000, 65_536, 64, 256, 12
-PROBE, PROBE_SHARE = 1_536, 0.045  # candidates per query: PROBE and this share of all vectors
+SAMPLE, BLOCK_ROWS, MOST_CENTROIDS, LLOYD = 32_768, 16_384, 512, 12
+PROBE, PROBE_SHARE, CELL_ROWS = 1_536, 0.045, 64  # candidates of a query for the k nearest: PROBE and this share of all vectors
+NEAR_CELLS, NEAR_ROWS = 6, 16  # cells visited for near vectors, and their mean size
 
 
 def _unit_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +65,8 @@ def _usable(dim: int):
             rows, unit = _unit_rows(b.column(1), dim)
             raw = [u.tobytes() for u in unit]
             keys = [xxhash.xxh64_intdigest(r) - (1 << 63) for r in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], names=["key", "ckey", "vec"])
+            taken = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), pa.array(keys, pa.int64()), b.column(2).take(taken), pa.array(raw, pa.binary())], names=["key", "ckey", "asks", "vec"])
 
     return run
 
@@ -80,10 +87,17 @@ def fit_centroids(points: np.ndarray, count: int, seed: int = 7) -> np.ndarray:
         sizes = np.bincount(near, minlength=len(centres))
         full = sizes > 0
         centres[full] = (sums[full] / sizes[full, None]).astype(np.float32)
-    # neighbours in number are neighbours in space: order along the first principal axis
-    spread = centres - centres.mean(axis=0)
-    axis = np.linalg.svd(spread, full_matrices=False)[2][0] if len(centres) > 1 else np.zeros(points.shape[1])
-    return centres[np.argsort(spread @ axis, kind="stable")]
+    return centres[_bisected(centres, np.arange(len(centres)))]
+
+
+def _bisected(points: np.ndarray, rows: np.ndarray) -> list[int]:
+    """An order in which neighbours in number are neighbours in space: halves along the principal axis, each halved again."""
+    if len(rows) < 2:
+        return rows.tolist()
+    spread = points[rows] - points[rows].mean(axis=0)
+    by_axis = rows[np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")]
+    half = len(rows) // 2
+    return _bisected(points, by_axis[:half]) + _bisected(points, by_axis[half:])
 
 
 def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -96,7 +110,8 @@ class Index:
     def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
         self.first, self.second = first, second
         self.counts = np.zeros(len(first) * len(second), np.int64)
-        self.blocks: list[list[int]] = []
+        self.block = np.zeros(len(self.counts), np.int32)  # the first block of each cell
+        self.parts = np.ones(len(self.counts), np.int32)  # and the number of its blocks
         self.n_blocks = 1
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
@@ -106,19 +121,22 @@ class Index:
     def lay_out(self, counts: dict[int, int], block_rows: int) -> None:
         for cell, n in counts.items():
             self.counts[cell] = n
-        self.blocks = [[] for _ in self.counts]
         block, used = 0, 0
         for cell in np.flatnonzero(self.counts):
             n = int(self.counts[cell])
             if used and used + n > block_rows:
                 block, used = block + 1, 0
             parts = max(1, -(-n // block_rows))  # a cell larger than a block gets blocks of its own
-            self.blocks[cell] = list(range(block, block + parts))
+            self.block[cell], self.parts[cell] = block, parts
             block, used = block + parts - 1, used + n if parts == 1 else block_rows
         self.n_blocks = block + 1
 
-    def visits(self, unit: np.ndarray, probe: int) -> list[list[int]]:
-        """For each vector the non-empty cells in order of summed distance that hold ``probe`` vectors."""
+    def blocks_of(self, cell: int) -> range:
+        return range(self.block[cell], self.block[cell] + self.parts[cell])
+
+    def visits(self, unit: np.ndarray, probe: int, most: int | None = None) -> list[list[int]]:
+        """For each vector the non-empty cells in order of summed distance that hold ``probe`` vectors, at most ``most`` of them."""
+        most = most or len(self.counts)
         half, width = self.first.shape[1], len(self.second)
         a, b = _distances(unit[:, :half], self.first), _distances(unit[:, half:], self.second)
         order_a, order_b = np.argsort(a, axis=1), np.argsort(b, axis=1)
@@ -127,7 +145,7 @@ class Index:
         out = []
         for da, db, oa, ob in zip(a, b, order_a, order_b):
             heap, found, got = [(da[0] + db[0], 0, 0)], [], 0
-            while heap and got < probe:
+            while heap and got < probe and len(found) < most:
                 _, i, j = heapq.heappop(heap)
                 cell = oa[i] + ob[j]
                 if counts[cell]:
@@ -150,7 +168,7 @@ def _with_cells(index, dim: int):
     return run
 
 
-def _route(index, dim: int, k: int, probe: int):
+def _route(index, dim: int, k: int, probe: int, most: int | None):
     """For each different vector of a batch one row per block: as a member with its keys, as a visitor with its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +178,24 @@ def _route(index, dim: int, k: int, probe: int):
             if not len(ckeys):
                 continue
             keys = batch.column("key").to_numpy()
+            asks = np.bincount(inverse, weights=batch.column("asks").to_numpy(zero_copy_only=False), minlength=len(ckeys)) > 0
             order = np.lexsort((keys, inverse))
             starts = np.searchsorted(inverse[order], np.arange(len(ckeys)))
             ends = np.append(starts[1:], len(order))
             raw = batch.column("vec").take(pa.array(first))
             unit = _matrix(raw, dim)
             own = ix.cells(unit)
+            visited: list[list[int]] = [[] for _ in ckeys]
+            for r, cells in zip(np.flatnonzero(asks).tolist(), ix.visits(unit[asks], probe, most)):
+                visited[r] = cells
             rows: dict[str, list] = {c: [] for c in ("block", "ckey", "cell", "keys", "cells", "which")}
-            for r, (c, visited) in enumerate(zip(own.tolist(), ix.visits(unit, probe))):
+            for r, c in enumerate(own.tolist()):
                 ck = int(ckeys[r])
                 places: dict[int, list[int]] = {}
-                for v in visited:
-                    for block in ix.blocks[v]:
+                for v in visited[r]:
+                    for block in ix.blocks_of(v):
                         places.setdefault(block, []).append(v)
-                home = ix.blocks[c][ck % len(ix.blocks[c])]
+                home = ix.blocks_of(c)[ck % len(ix.blocks_of(c))]
                 places.setdefault(home, [])
                 for block, cells in places.items():
                     at_home = block == home
@@ -193,17 +215,20 @@ def _route(index, dim: int, k: int, probe: int):
 class _Members:
     """The classes that one block holds: vectors by cell, and the smallest keys of each class."""
 
-    def __init__(self, rows: pa.Table, dim: int, k: int) -> None:
+    def __init__(self, rows: pa.Table, dim: int, k: int, least: float) -> None:
         ckey, order = np.unique(rows.column("ckey").to_numpy(), return_inverse=True)
         first = np.unique(order, return_index=True)[1]
         held: list[list[np.ndarray]] = [[] for _ in ckey]
         for at, raw in zip(order.tolist(), rows.column("keys").to_pylist()):
             held[at].append(np.frombuffer(raw, np.int64))
         self.held = [np.unique(np.concatenate(h))[: k + 1] if len(h) > 1 else h[0] for h in held]
-        self.ckey, self.dim, self.k = ckey, dim, k
+        self.ckey, self.k, self.least = ckey, k, least
         cell = rows.column("cell").to_numpy()[first]
         self.vectors = _matrix(rows.column("vec"), dim)[first]
-        self.visits = [np.frombuffer(rows.column("cells")[int(r)].as_py(), np.int32) for r in first]
+        self.visits = [np.zeros(0, np.int32)] * len(ckey)
+        for at, raw in zip(order.tolist(), rows.column("cells").to_pylist()):
+            if raw:  # a batch without a query of the class has sent none
+                self.visits[at] = np.frombuffer(raw, np.int32)
         self.by_cell = np.argsort(cell, kind="stable").astype(np.int32)
         self.cells, self.start = np.unique(cell[self.by_cell], return_index=True)
         self.end = np.append(self.start[1:], len(ckey))
@@ -211,7 +236,7 @@ class _Members:
         self.single = np.append([len(h) == 1 for h in self.held], True)
 
     def search(self, ckey: np.ndarray, unit: np.ndarray, visits: list[np.ndarray], home: bool) -> pa.RecordBatch:
-        """The best k classes of each visitor among the cells it visits; memory is visitors * k."""
+        """The best k classes of each visitor among the cells it visits, if there are any; memory is visitors * k."""
         k = self.k
         asker = np.repeat(np.arange(len(ckey)), [len(v) for v in visits])
         target = np.concatenate(visits) if visits else np.zeros(0, np.int32)
@@ -234,14 +259,18 @@ class _Members:
                 both_s, both_m = np.concatenate([best_s[q], score], 1), np.concatenate([best_m[q], names], 1)
                 top = np.argpartition(-both_s, k - 1, axis=1)[:, :k]
                 best_s[q], best_m[q] = np.take_along_axis(both_s, top, 1), np.take_along_axis(both_m, top, 1)
+        best_s = np.where(best_s >= self.least, best_s, -2)
         best_m = np.where(best_s > -2, best_m, -1)
         by_key = np.argsort(self.low[best_m], axis=1, kind="stable")
         best_s, best_m = np.take_along_axis(best_s, by_key, 1), np.take_along_axis(best_m, by_key, 1)
         by_score = np.argsort(-best_s, axis=1, kind="stable")
         best_s, best_m = np.take_along_axis(best_s, by_score, 1), np.take_along_axis(best_m, by_score, 1)
         plain, filled = self.single[best_m].all(axis=1), (best_s > -2).sum(axis=1)
-        ids, scores = [], []
+        ids, scores, told = [], [], []
         for r in range(len(ckey)):
+            if not filled[r] and not (home and len(visits[r]) and not self.single[r]):
+                continue
+            told.append(r)
             near, value = best_m[r, : filled[r]], best_s[r, : filled[r]]
             if plain[r]:
                 ids.append(self.low[near].tobytes())
@@ -250,11 +279,11 @@ class _Members:
                 names = [self.held[m] for m in near.tolist()]
                 ids.append(np.concatenate(names)[: 2 * k].tobytes())
                 scores.append(np.repeat(value, [len(x) for x in names])[: 2 * k].tobytes())
-        mine = [h.tobytes() for h in self.held[: len(ckey)]] if home else [b""] * len(ckey)
-        return pa.RecordBatch.from_arrays([pa.array(ckey), pa.array(mine, pa.binary()), pa.array(ids, pa.binary()), pa.array(scores, pa.binary())], names=["ckey", "mine", "ids", "scores"])
+        mine = [self.held[r].tobytes() for r in told] if home else [b""] * len(told)
+        return pa.RecordBatch.from_arrays([pa.array(ckey[told]), pa.array(mine, pa.binary()), pa.array(ids, pa.binary()), pa.array(scores, pa.binary())], names=["ckey", "mine", "ids", "scores"])
 
 
-def _search(dim: int, k: int):
+def _search(dim: int, k: int, least: float):
     """Exact cosines between the visitors and the members of one block; members come first, visitors stream past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +294,7 @@ def _search(dim: int, k: int):
                 held.append(b.slice(0, at_home))
             if at_home < b.num_rows:
                 if members is None:
-                    members = _Members(pa.Table.from_batches(held), dim, k) if held else False
+                    members = _Members(pa.Table.from_batches(held), dim, k, least) if held else False
                     held = []
                     if members:
                         yield members.search(members.ckey, members.vectors, members.visits, True)
@@ -273,7 +302,7 @@ def _search(dim: int, k: int):
                     rest = b.slice(at_home)
                     yield members.search(rest.column("ckey").to_numpy(), _matrix(rest.column("vec"), dim), [np.frombuffer(c, np.int32) for c in rest.column("cells").to_pylist()], False)
         if members is None and held:
-            members = _Members(pa.Table.from_batches(held), dim, k)
+            members = _Members(pa.Table.from_batches(held), dim, k, least)
             yield members.search(members.ckey, members.vectors, members.visits, True)
 
     return run
@@ -309,32 +338,44 @@ def _lists(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float32()))], names=["ckey", "ids", "scores"])
 
 
-def nearest(vectors: DataFrame, key: str, embedding: str, k: int = 10, dim: int = 128, probe: int = PROBE, sample: int = SAMPLE) -> DataFrame:
-    """(key, neighbours: array of (id, cosine)), best first. Runs a count, a bounded sample and the cell counts first."""
+def nearest(
+    vectors: DataFrame, key: str, embedding: str, k: int = 10, dim: int = 128, probe: int = PROBE, share: float = PROBE_SHARE, cells: int | None = None, least: float | None = None, queries: Column | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(key, neighbours: array of (id, cosine)), best first, of each query that has any.
+
+    ``probe + share * n`` candidates are wanted, in at most ``cells`` cells; neighbours below
+    ``least`` are left out. Runs a count, a bounded sample and the cell counts first.
+    """
     spark = vectors.sparkSession
-    rows = keep(vectors.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<float>").alias("v")).mapInArrow(_usable(dim), "key long, ckey long, vec binary"))
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    rows = keep(vectors.select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<float>").alias("v"), asks.alias("asks")).where("key is not null").mapInArrow(_usable(dim), "key long, ckey long, asks boolean, vec binary"))
     typed = "array<struct<id:bigint,cosine:float>>"
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], f"key long, neighbours {typed}")
-    share = min(1.0, sample / n)
-    drawn = rows.where(F.pmod(F.xxhash64("ckey", "key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").toArrow()
+    wanted = probe + int(share * n)
+    # without a bound on cells, they are large enough that a query visits about CELL_ROWS of them, however many candidates it wants
+    count = int(np.clip(round((n / (NEAR_ROWS if cells else max(CELL_ROWS, wanted / CELL_ROWS))) ** 0.5), 1, MOST_CENTROIDS))
+    part = min(1.0, min(SAMPLE, max(10_000, 64 * count)) / n)
+    drawn = rows.where(F.pmod(F.xxhash64("ckey", "key"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("vec").toArrow()
     points = _matrix(drawn.column("vec"), dim) if drawn.num_rows else _matrix(rows.limit(1).select("vec").toArrow().column("vec"), dim)
-    wanted = probe + int(PROBE_SHARE * n)
-    # cells large enough that a query visits about CELL_ROWS of them, however many candidates it wants
-    count = int(np.clip(round((n / max(CELL_ROWS, wanted / CELL_ROWS)) ** 0.5), 1, MOST_CENTROIDS))
     ix = Index(fit_centroids(points[:, : dim // 2], count), fit_centroids(points[:, dim // 2 :], count))
     sent = spark.sparkContext.broadcast(ix)
     counts = {r.cell: r["count"] for r in rows.mapInArrow(_with_cells(sent, dim), "cell int").groupBy("cell").count().collect()}
-    ix.lay_out(counts, BLOCK_ROWS)
+    ix.lay_out(counts, block_rows)
     laid = spark.sparkContext.broadcast(ix)
-    routed = rows.mapInArrow(_route(laid, dim, k, wanted), "block int, ckey long, cell int, keys binary, cells binary, vec binary")
+    routed = rows.mapInArrow(_route(laid, dim, k, wanted, cells), "block int, ckey long, cell int, keys binary, cells binary, vec binary")
     blocks = routed.repartitionById(ix.n_blocks, F.col("block")).sortWithinPartitions(F.col("cell") < 0)
-    found = blocks.mapInArrow(_search(dim, k), "ckey long, mine binary, ids binary, scores binary")
+    found = blocks.mapInArrow(_search(dim, k, -1.5 if least is None else least), "ckey long, mine binary, ids binary, scores binary")
     lists = found.repartition("ckey").sortWithinPartitions("ckey").mapInArrow(_merge(k), "ckey long, ids array<long>, scores array<float>")
-    own = rows.select("key", "ckey").dropDuplicates(["key"]).join(lists, "ckey")
+    own = rows.where("asks").select("key", "ckey").dropDuplicates(["key"]).join(lists, "ckey")
     others = F.filter(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("cosine")), lambda x: x["id"] != F.col("key"))
-    return own.select("key", F.slice(others, 1, k).cast(typed).alias("neighbours"))
+    return own.select("key", F.slice(others, 1, k).cast(typed).alias("neighbours")).where(F.size("neighbours") > 0)
+
+
+def near(vectors: DataFrame, key: str, embedding: str, least: float, k: int = 10, dim: int = 128, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``nearest`` of every vector for neighbours of a cosine of ``least`` or more, in NEAR_CELLS cells."""
+    return nearest(vectors, key, embedding, k, dim, 1 << 40, 0.0, NEAR_CELLS, least, None, block_rows)
 
 
 def mutual_pairs(lists: DataFrame, least: float = 0.9) -> DataFrame:

@@ -42,17 +42,16 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _p3(spark, folder).withColumnsRenamed({"key": "chunk_id", "start": "start_char", "end": "end_char"})
 
 
-def _p4(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
-    return [(tab, neighbours.nearest(table(spark, folder, tab), key, "embedding")) for tab, key in (("chunks", "chunk_id"), ("archive_entries", "entry_id"))]
+_P4_TABLES = (("chunks", "chunk_id"), ("archive_entries", "entry_id"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = [neighbours.mutual_pairs(lists).select(F.lit(tab).alias("tab"), "id_a", "id_b") for tab, lists in _p4(spark, folder)]
+    found = [neighbours.mutual_pairs(neighbours.near(table(spark, folder, tab), key, "embedding", 0.9)).select(F.lit(tab).alias("tab"), "id_a", "id_b") for tab, key in _P4_TABLES]
     return found[0].unionByName(found[1])
 
 
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    lists = [found.select(F.lit(tab).alias("tab"), F.col("key").alias("id"), F.posexplode("neighbours").alias("rank", "x")) for tab, found in _p4(spark, folder)]
+    lists = [neighbours.nearest(table(spark, folder, tab), key, "embedding", queries=F.col(key) % 20 == 0).select(F.lit(tab).alias("tab"), F.col("key").alias("id"), F.posexplode("neighbours").alias("rank", "x")) for tab, key in _P4_TABLES]
     return lists[0].unionByName(lists[1]).select("tab", "id", "rank", F.col("x.id").alias("neighbour_id"), F.round("x.cosine", 4).alias("cosine"))
 
 

@@ -42,7 +42,32 @@ def test_neighbours_of_copies_and_few(spark):
 def test_large_cells_are_spread():
     ix = neighbours.Index(np.zeros((1, 2), np.float32), np.zeros((2, 2), np.float32))
     ix.lay_out({0: 100, 1: 10}, 30)
-    assert ix.blocks[0] == [0, 1, 2, 3] and ix.blocks[1] == [4] and ix.n_blocks == 5
+    assert list(ix.blocks_of(0)) == [0, 1, 2, 3] and list(ix.blocks_of(1)) == [4] and ix.n_blocks == 5
+
+
+def test_near_vectors_in_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[1500:] = x[:1500] + rng.normal(size=(1500, 16)) * 0.15
+    x[2990:] = x[2990]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<float>")
+    want, s = brute_nearest(np.arange(3000), unit, 10)
+    pairs = {(a, b) for a in want for b in want[a] if a < b and a in want[b] and s[a, b] >= 0.9}
+    got = {(r.id_a, r.id_b) for r in neighbours.mutual_pairs(neighbours.near(df, "id", "v", 0.9, dim=16, block_rows=100)).collect()}
+    assert len(pairs) > 1000 and got <= pairs and len(got) >= 0.9 * len(pairs)
+
+
+def test_stated_queries_against_all(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x[20], x[41] = x[21], x[40]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<float>")
+    from pyspark.sql import functions as F
+
+    got = {r.key: [n.id for n in r.neighbours] for r in neighbours.nearest(df, "id", "v", 10, 16, queries=F.col("id") % 20 == 0).collect()}
+    want, _ = brute_nearest(np.arange(400), x / np.linalg.norm(x, axis=1)[:, None], 10)
+    assert set(got) == set(range(0, 400, 20)) and all(got[k] == want[k] for k in got)
 
 
 @settings(max_examples=150, deadline=None)

@@ -110,8 +110,9 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_messages(spark: SparkSession, folder: str) -> DataFrame:
-    groups = residue.message_groups(residue.matched_messages(table(spark, folder, "documents")))
-    return groups.select("kind", "message", "n_docs", "n_sources", "residue")
+    """Classified messages by whole message: documents, sources, and whether they are left out."""
+    found = residue.residue_messages(residue.hashed_messages(table(spark, folder, "documents")))
+    return found.groupBy("kind", "message").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.max(F.col("by_message") | F.col("by_core")).alias("residue"))
 
 
 _P4 = """

@@ -1,31 +1,42 @@
 """Problem 9: template residue, filler, error pages and notices about scripts in place of content.
 
 Method: texts are cut into messages (sentences and lines, with code, inline code and
-quoted speech taken out, since a document may talk about such things). Numbers, dates,
-addresses, hosts, codes and slots are masked; equal masked messages are one group across
-all documents and sources. Groups are classified by placeholder rules (unfilled or
-emptily filled slots) and phrase rules (filler, errors, script and cookie notices).
-Phrases that could also be ordinary speech ('weak') count only where their group recurs
-in several documents and sources.
+quoted speech taken out, since a document may talk about such things). In every message
+numbers, dates, addresses, hosts, codes and slots are masked and its hash taken; equal
+masked messages are one group across all documents and sources. Only then are groups
+classified, each once: by placeholder rules (unfilled or emptily filled slots) and phrase
+rules (filler, errors, script and cookie notices).
+
+Recurrence decides for every class: a group is residue if the message recurs in
+MIN_DOCS documents and MIN_SOURCES sources, or if its core does. The core of a message
+with slots is the placeholder as it is written, of another one the phrase that the rule
+found in it; many notices are put together from parts, and the core is the part that stays
+the same. Phrases that could also be ordinary speech ('weak') count only where the whole
+message recurs.
+
+The text of a message travels to its group only if it holds a sign of some rule (a slot,
+an empty fill, filler vocabulary, a trigger word); other messages cannot be classified and
+are grouped by their hash alone.
 
 Edge cases: null, empty and blank texts, and texts of fewer than MIN_CHARS characters,
 are never cases; a document that is delivered twice counts once; transcript markers and
-JSON records of artifacts are content; texts of any length are read whole.
+JSON records of artifacts are content; texts of any length are read whole; a leftover that
+occurs in fewer documents than MIN_DOCS, message and core alike, is not told from content.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.session import keep
+from memloom.session import keep, materialize
 
 MIN_CHARS = 5
-WEAK_DOCS, WEAK_SOURCES = 3, 2
+MIN_DOCS, MIN_SOURCES = 3, 2
 
 # fixed values: forms of unfilled slots
 SLOT = re.compile(
@@ -57,7 +68,7 @@ WEAK = re.compile(r"^(?:after that, )?(?:please )?(?:reload|refresh) (?:the|this
 # fixed values: the usual filler text, and words that no filler sentence has
 BASE_WORDS = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split())
 PLAIN_WORDS = "the and for in is of to was with that this a it on by at as from le la les des est une pour que el los una por con der die das und ist ein für nicht".split()
-FILLER_WORDS = 300  # bound of the learned vocabulary
+FILLER_WORDS = 2_000  # bound of the learned vocabulary; the test data have about 30
 
 # each form of each phrase rule contains one of these, as tests/llm/test_texts.py proves; most sentences have none
 TRIGGERS = tuple(
@@ -67,6 +78,14 @@ TRIGGERS = tuple(
     "reload refresh retry retournez invite tbd untitled".split()
 ) + ("not found", "logged out", "too many requests", "no longer available", "has been", "could not", "went wrong", "this page", "coming soon", "foo bar", "test test", "replace me", "try again", "sign in", "log in", "return to", "go back", "back to", "zurück zur", "nothing can", "cannot start", "be back", "slow down", "space", "content", "summary", "conversation", "paragraph")
 SLOT_SIGNS = re.compile(r"[{\[<%@$#_]|XX-")
+FILL_SIGNS = re.compile(r"undefined|null|NaN|nan|None|\[object")
+DIGIT = re.compile(r"\d")
+ADDRESS_SIGNS = re.compile(r"@|://|\w\.\w")
+ADDRESS = re.compile(r"https?://\S+|\b[\w.+-]+@[\w-]+\.\w[\w.]*|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net)\b")
+ID = re.compile(r"\b[A-Z]{2,4}-\d+\b|\b(?=\w*\d)(?=\w*[A-Za-z])\w{6,}\b")
+NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
+
+LATIN, PAGE = "<latin>", "<page> "  # a sentence of filler vocabulary, and the mark of a line that is an error record or page
 
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 INLINE = re.compile(r"`[^`\n]*`|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^»\n]{0,400}»|「[^」\n]{0,400}」|(?<![\w=])\"[^\"\n]{0,400}\"(?!\w)")
@@ -82,9 +101,44 @@ def latin(part: str, words: frozenset[str]) -> bool:
     return len(said) >= 4 and sum(w in words for w in said) >= 0.8 * len(said)
 
 
-def messages(text: str, words: frozenset[str] = BASE_WORDS) -> list[tuple[str, str]]:
-    """(class, masked message) of each message that a rule matches; class 'slot', 'script', 'error', 'filler' or 'weak'."""
-    out = []
+def trigger_test() -> Callable[[str], bool]:
+    """Whether a lower-case text holds a trigger: one pass of an automaton over all of them."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for t in TRIGGERS:
+        found.add_word(t, t)
+    found.make_automaton()
+    return lambda low: next(found.iter(low), None) is not None
+
+
+def mask(text: str) -> tuple[str, str | None]:
+    """The message without slots, addresses, hosts, codes, ids, dates and numbers, one blank between words, lower case; and its first placeholder as written."""
+    slot = None
+    if SLOT_SIGNS.search(text):
+        found = SLOT.search(text)
+        if found:
+            slot = NUMBER.sub("0", found.group()).lower()
+            text = SLOT.sub("<slot>", text)
+    if FILL_SIGNS.search(text):
+        fills = EMPTY_FILL.findall(text)
+        if len(fills) >= 2 or "[object Object]" in fills:
+            slot = slot or fills[0].lower()
+        text = EMPTY_FILL.sub("<slot>", text)
+    if ADDRESS_SIGNS.search(text):
+        text = ADDRESS.sub("<addr>", text)
+    if DIGIT.search(text):
+        text = NUMBER.sub("0", ID.sub("<id>", text))
+    return " ".join(text.split()).lower(), slot
+
+
+Message = tuple[str, str | None, bool]
+
+
+def messages(text: str, words: frozenset[str] = BASE_WORDS, triggered: Callable[[str], bool] | None = None) -> list[Message]:
+    """(masked message, placeholder, whether some rule might match) of each message."""
+    triggered = triggered or trigger_test()
+    out: list[Message] = []
     for line in FENCE.sub("\n", text).splitlines():
         if not line.strip() or RECORD.match(line):
             continue
@@ -92,47 +146,39 @@ def messages(text: str, words: frozenset[str] = BASE_WORDS) -> list[tuple[str, s
             line = bare
         raw = line.strip()
         if raw.startswith('{"error"') or raw[:6].lower() == "<html>":
-            out.append(("error", mask(raw)))
+            out.append((PAGE + mask(raw)[0], None, True))
             continue
         if CODE_LINE.match(line):
             continue
-        line = INLINE.sub(" ", line)
-        for part in SENTENCE.split(line):
+        for part in SENTENCE.split(INLINE.sub(" ", line)):
             part = part.strip()
             if not part:
                 continue
-            if SLOT_SIGNS.search(part) and SLOT.search(part):
-                out.append(("slot", mask(part)))
-                continue
-            if any(w in part for w in ("undefined", "null", "NaN", "nan", "None", "[object")):
-                fills = EMPTY_FILL.findall(part)
-                if len(fills) >= 2 or "[object Object]" in fills:
-                    out.append(("slot", mask(part)))
-                    continue
-            low = part.lower()
-            if latin(low, words):
-                out.append(("filler", "<latin>"))
+            masked, slot = mask(part)
+            low = " ".join(part.lower().split())
+            if slot is None and latin(low, words):
+                out.append((LATIN, None, True))
                 continue
-            low = " ".join(low.split())
             if not low.isascii():
                 low = low.replace("ſ", "s").replace("ı", "i")  # for the rules, which ignore case, these are equal
-            if not any(t in low for t in TRIGGERS):
-                continue
-            masked = mask(part)
-            kind = next((k for k, rule in STRONG.items() if rule.search(masked)), "weak" if WEAK.search(masked) else "")
-            if kind:
-                out.append((kind, masked))
+            out.append((masked, slot, slot is not None or triggered(low)))
     return out
 
 
-def mask(text: str) -> str:
-    """Without slots, addresses, hosts, codes, ids, dates and numbers; one blank between words, lower case."""
-    text = SLOT.sub("<slot>", text)
-    text = EMPTY_FILL.sub("<slot>", text)
-    text = re.sub(r"https?://\S+|\b[\w.+-]+@[\w-]+\.\w[\w.]*|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net)\b", "<addr>", text)
-    text = re.sub(r"\b[A-Z]{2,4}-\d+\b|\b(?=\w*\d)(?=\w*[A-Za-z])\w{6,}\b", "<id>", text)
-    text = re.sub(r"\d+(?:[.,:/-]\d+)*", "0", text)
-    return re.sub(r"\s+", " ", text).strip().lower()
+def classify(message: str, slot: str | None) -> tuple[str, str]:
+    """(class, core) of a masked message; class 'slot', 'script', 'error', 'filler', 'weak' or ''."""
+    if slot is not None:
+        return "slot", slot
+    if message.startswith(PAGE):
+        return "error", PAGE
+    if message == LATIN:
+        return "filler", LATIN
+    for kind, rule in STRONG.items():
+        found = rule.search(message)
+        if found:
+            said = found.group().split()
+            return kind, " ".join(said if len(said) <= 6 else [said[0], said[-1]])
+    return ("weak", "") if WEAK.search(message) else ("", "")
 
 
 def filler_words(documents: DataFrame) -> frozenset[str]:
@@ -143,48 +189,66 @@ def filler_words(documents: DataFrame) -> frozenset[str]:
     return BASE_WORDS | {r.w for r in words.orderBy(F.desc("count"), "w").limit(FILLER_WORDS).collect()}
 
 
-def _matched(words: frozenset[str]):
+def _hashed(words: frozenset[str]):
+    """Each document's different messages, hashed; with their text where a rule might match."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _match_batches(batches, words)
+        import xxhash
 
-    return run
+        triggered = trigger_test()
+        for b in batches:
+            ids, sources, keys, texts, slots = [], [], [], [], []
+            for doc, source, text in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                if text is None or len(text.strip()) < MIN_CHARS:
+                    continue
+                seen = set()
+                for masked, slot, may in messages(text, words, triggered):
+                    key = xxhash.xxh64_intdigest(masked) - (1 << 63)
+                    if (key, slot) in seen:
+                        continue
+                    seen.add((key, slot))
+                    ids.append(doc)
+                    sources.append(source)
+                    keys.append(key)
+                    texts.append(masked if may else None)
+                    slots.append(slot)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(slots, pa.string())], names=["doc_id", "source", "key", "message", "slot"])
 
+    return run
 
-def _match_batches(batches: Iterator[pa.RecordBatch], words: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    import xxhash
 
+def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, sources, kinds, keys, texts = [], [], [], [], []
-        for doc, source, text in zip(*[b.column(k).to_pylist() for k in range(3)]):
-            if text is None or len(text.strip()) < MIN_CHARS:
-                continue
-            for kind, masked in dict.fromkeys(messages(text, words)):
-                ids.append(doc)
-                sources.append(source)
-                kinds.append(kind)
-                keys.append(xxhash.xxh64_intdigest(f"{kind}\x1f{masked}") - (1 << 63))
-                texts.append(masked)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array(kinds, pa.string()), pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "source", "kind", "message_key", "message"])
+        got = [classify(m, s) for m, s in zip(b.column("message").to_pylist(), b.column("slot").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=[*b.schema.names, "kind", "core"]).filter(pa.array([g[0] != "" for g in got], pa.bool_()))
 
 
-def matched_messages(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, kind, message_key, message): messages of the documents that a rule matches. Learns the filler vocabulary first."""
+def hashed_messages(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, key, message, slot): the different masked messages of each document. Learns the filler vocabulary and writes a table."""
     texts = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return texts.mapInArrow(_matched(filler_words(texts)), "doc_id long, source string, kind string, message_key long, message string")
+    return materialize(texts.mapInArrow(_hashed(filler_words(texts)), "doc_id long, source string, key long, message string, slot string"), "messages")
+
+
+def message_groups(hashed: DataFrame) -> DataFrame:
+    """(key, message, slot, n_docs, n_sources) of each group of equal masked messages; the message is null where no rule can match."""
+    per_source = hashed.groupBy("key", "source").agg(F.min("message").alias("message"), F.min("slot").alias("slot"), F.countDistinct("doc_id").alias("n"))
+    return per_source.groupBy("key").agg(F.min("message").alias("message"), F.min("slot").alias("slot"), F.sum("n").alias("n_docs"), F.count("*").alias("n_sources"))
 
 
-def message_groups(matched: DataFrame) -> DataFrame:
-    """(message_key, kind, message, n_docs, n_sources, residue) for each group of equal masked messages."""
-    per_source = matched.groupBy("message_key", "source").agg(F.min("kind").alias("kind"), F.min("message").alias("message"), F.countDistinct("doc_id").alias("n"))
-    groups = per_source.groupBy("message_key").agg(F.min("kind").alias("kind"), F.min("message").alias("message"), F.sum("n").alias("n_docs"), F.count("*").alias("n_sources"))
-    return groups.withColumn("residue", (F.col("kind") != "weak") | ((F.col("n_docs") >= WEAK_DOCS) & (F.col("n_sources") >= WEAK_SOURCES)))
+def residue_messages(hashed: DataFrame) -> DataFrame:
+    """(doc_id, source, key, message, kind, core, by_message, by_core): the messages that a rule classifies, and what recurs of them."""
+    groups = message_groups(hashed).where("message is not null").mapInArrow(_classified, "key long, message string, slot string, n_docs long, n_sources long, kind string, core string")
+    kinds = groups.select("key", "kind", F.col("core").alias("phrase"), ((F.col("n_docs") >= MIN_DOCS) & (F.col("n_sources") >= MIN_SOURCES)).alias("recurs"))
+    found = keep(hashed.where("message is not null").join(kinds, "key").select("doc_id", "source", "key", "message", "kind", F.coalesce("slot", "phrase").alias("core"), "recurs"))
+    cores = found.where("core <> ''").select("core", "source", "doc_id").distinct().groupBy("core", "source").agg(F.count("*").alias("n")).groupBy("core").agg(F.sum("n").alias("n"), F.count("*").alias("s"))
+    wide = cores.where((F.col("n") >= MIN_DOCS) & (F.col("s") >= MIN_SOURCES)).select("core", F.lit(True).alias("wide"))
+    return found.join(wide, "core", "left").select("doc_id", "source", "key", "message", "kind", "core", F.col("recurs").alias("by_message"), F.coalesce("wide", F.lit(False)).alias("by_core"))
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, kinds): documents with residue, and the sorted kinds of it."""
-    matched = keep(matched_messages(documents))
-    bad = message_groups(matched).where("residue").select("message_key")
-    return matched.join(bad, "message_key", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    bad = residue_messages(hashed_messages(documents)).where("by_message or by_core")
+    return bad.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

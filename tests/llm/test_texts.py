@@ -105,14 +105,30 @@ DOCUMENTS = [
 
 
 def test_residue(spark):
-    rows = [(k, t, "s", 1) for k, (t, _) in enumerate(DOCUMENTS)] + [(0, DOCUMENTS[0][0], "s", 1)]
+    """Each text in three documents of two sources, so that everything recurs and the rules decide."""
+    rows = [(3 * k + copy, t, f"s{copy % 2}", 1) for k, (t, _) in enumerate(DOCUMENTS) for copy in range(3)] + [(0, DOCUMENTS[0][0], "s0", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, kind int")
     got = {r.doc_id for r in residue.residue_documents(df).collect()}
-    assert got == {k for k, (_, bad) in enumerate(DOCUMENTS) if bad}
+    weak = [k for k, (t, _) in enumerate(DOCUMENTS) if t == "Please reload the page."]
+    assert got == {3 * k + copy for k, (_, bad) in enumerate(DOCUMENTS) for copy in range(3) if bad or k in weak}
     assert residue.without_residue(df).where("doc_id = 0").count() == 0
     assert residue.residue_documents(df.limit(0)).count() == 0
 
 
+def test_recurrence_decides_for_every_class(spark):
+    """One document is not enough, nor is one source; a placeholder or phrase that recurs in different messages is."""
+    for text in ("Hello {{name}}, your export is ready.", "Lorem ipsum dolor sit amet, consectetur.", "404 Not Found", "Please enable JavaScript in your browser.", "Please reload the page."):
+        for docs, sources, bad in ((1, 1, False), (2, 2, False), (3, 1, False), (3, 2, True)):
+            df = spark.createDataFrame([(k, text, f"s{k % sources}") for k in range(docs)], "doc_id long, text string, source string")
+            assert (residue.residue_documents(df).count() > 0) == bad, (text, docs, sources)
+    parts = ["Hello {{name}}, we met.", "The owner of the plan is {{name}}.", "Call {{name}} on Monday."]
+    df = spark.createDataFrame([(k, t, f"s{k % 2}") for k, t in enumerate(parts)], "doc_id long, text string, source string")
+    got = residue.residue_messages(residue.hashed_messages(df)).collect()
+    assert len(got) == 3 and all(r.by_core and not r.by_message for r in got)
+    same = spark.createDataFrame([(1, "Ask {{a}} now. Ask {{b}} now. Ask {{c}} now.", "s"), (2, None, "t")], "doc_id long, text string, source string")
+    assert residue.residue_documents(same).count() == 0
+
+
 GAP = "\0"  # stands for whatever a rule leaves open
 
 
@@ -152,19 +168,14 @@ def test_every_phrase_rule_implies_a_trigger():
     ("More coming  soon", "filler"), ("Try  again", "weak"), ("Acceſs denıed", "error"), ("Unter ganz neuen Dingen stehen hier nur " + "lorem ipsum dolor sit amet " * 8, "filler"),
 ])
 def test_phrase_rules_see_what_the_gate_passes(text, kind):
-    assert kind in [k for k, _ in residue.messages(text)]
+    assert kind in [residue.classify(m, slot)[0] for m, slot, may in residue.messages(text) if may]
 
 
 def test_latin_reads_all_words():
     assert residue.latin("one two three four " + "dolor sit amet elit " * 5, residue.BASE_WORDS)
 
 
-def test_weak_messages_need_recurrence(spark):
-    df = spark.createDataFrame([(k, "Please reload the page.", f"s{k % 2}") for k in range(3)], "doc_id long, text string, source string")
-    assert residue.residue_documents(df).count() == 3
-
-
 def test_learned_filler(spark):
     text = "Lorem velit arbor notum. Arbor notum velit lorem arbor. Ipsum velit notum arbor."
-    df = spark.createDataFrame([(1, text, "s"), (2, text, "s"), (3, "Arbor velit notum arbor velit.", "s"), (4, "The arbor of the town is old.", "s")], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(1, text, "s"), (2, text, "s"), (3, "Arbor velit notum arbor velit.", "t"), (4, "The arbor of the town is old.", "s")], "doc_id long, text string, source string")
     assert {r.doc_id for r in residue.residue_documents(df).collect()} == {1, 2, 3}

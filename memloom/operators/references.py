@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from memloom.session import shuffle_partitions
 
 SALTS = 1 << 16
-CUT_SAMPLE = 50_000  # bound of the key sample that sets the cut points; it never decides a result
+SAMPLES_PER_CUT, LEAST_SAMPLE = 32, 4_096  # size of the key sample that sets the cut points; it never decides a result
+KEY_BYTES = 64  # longer keys are ordered by their beginning and a digest, and compared in full
 DAY_US = 86_400_000_000
 
 
@@ -67,38 +68,58 @@ def references(rows: DataFrame, key: str, fields: list[str], tab: str, space: st
 
 
 def _cut_points(refs: DataFrame, ranges: int) -> list[tuple[str, int]]:
-    """Cut points (space and key, salt) from at most CUT_SAMPLE hashed references."""
-    drawn = refs.select(F.concat_ws("\x1f", "space", "target_key").alias("k"), F.pmod(F.xxhash64("ref_key", "field_name"), F.lit(SALTS)).cast("int").alias("salt"))
-    got = sorted((r.k, r.salt) for r in drawn.orderBy(F.xxhash64("k", "salt")).limit(CUT_SAMPLE).collect())
+    """Cut points (space and key, salt) from a uniform sample of references: the least hash of each of a fixed number of buckets.
+
+    What reaches the driver is that number of rows, however many references or tasks there are.
+    """
+    drawn = refs.select(F.xxhash64("ref_key", "field_name", "target_key").alias("h"), F.concat_ws("\x1f", "space", "target_key").alias("k"), F.pmod(F.xxhash64("ref_key", "field_name"), F.lit(SALTS)).cast("int").alias("salt"))
+    buckets = max(LEAST_SAMPLE, SAMPLES_PER_CUT * ranges)
+    least = drawn.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.min(F.struct("h", "k", "salt")).alias("m")).select("m.k", "m.salt")
+    got = sorted((_fixed(r.k.encode()), r.salt) for r in least.collect())
     return sorted({got[len(got) * k // ranges] for k in range(1, ranges)}) if got else []
 
 
-def _range_of(cuts: list[tuple[str, int]]):
-    keys = np.array([k.encode() for k, _ in cuts], object)
+def _fixed(key: bytes) -> bytes:
+    """The key itself up to KEY_BYTES bytes; of a longer one, or one that ends in a zero byte, its beginning and a digest."""
+    import xxhash
+
+    return key if len(key) <= KEY_BYTES and key[-1:] != b"\0" else key[: KEY_BYTES - 32].ljust(KEY_BYTES - 32, b"\1") + xxhash.xxh3_128_hexdigest(key).encode()
+
+
+def _keys(batch: pa.RecordBatch | pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """Space and key of each row in full, and as a fixed-width array that sorts and compares vectorised."""
+    full = [f"{s}\x1f{k}".encode() for s, k in zip(batch.column("space").to_pylist(), batch.column("key").to_pylist())]
+    return full, np.array([_fixed(k) for k in full], f"S{KEY_BYTES}")
+
+
+def _range_of(cuts: list[tuple[bytes, int]]):
+    keys = np.array([k for k, _ in cuts], f"S{KEY_BYTES}")
     salts = np.array([s for _, s in cuts], np.int64)
 
-    def at(key: bytes, salt: int) -> int:
+    def at(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
         lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-        return int(lo + np.searchsorted(salts[lo:hi], salt, "right"))
+        for first in np.unique(lo[hi > lo]):  # keys that are cut points themselves: their salts decide
+            mine = np.flatnonzero((lo == first) & (hi > lo))
+            lo[mine] += np.searchsorted(salts[first : hi[mine[0]]], salt[mine], "right")
+        return lo.astype(np.int32)
 
     return at
 
 
-def _place(cuts: list[tuple[str, int]], parent: bool):
+def _place(cuts: list[tuple[bytes, int]], parent: bool):
     """Adds the range of each reference, or every range that a parent's key spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _range_of(cuts)
         for b in batches:
-            joined = [f"{s}\x1f{k}".encode() for s, k in zip(b.column("space").to_pylist(), b.column("key").to_pylist())]
+            _, keys = _keys(b)
             if parent:
-                first = np.array([at(k, -1) for k in joined], np.int64)
-                last = np.array([at(k, SALTS) for k in joined], np.int64)
-                rows = np.repeat(np.arange(len(joined)), last - first + 1)
-                part = np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last)]) if len(joined) else np.zeros(0, np.int64)
-                b = b.take(pa.array(rows))
+                first, last = at(keys, np.full(len(keys), -1)), at(keys, np.full(len(keys), SALTS))
+                each = last - first + 1
+                part = np.repeat(last - np.cumsum(each) + 1, each) + np.arange(each.sum())
+                b = b.take(pa.array(np.repeat(np.arange(len(keys)), each)))
             else:
-                part = np.array([at(k, s) for k, s in zip(joined, b.column("salt").to_pylist())], np.int64)
+                part = at(keys, b.column("salt").to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32), pa.int32())], names=[*b.schema.names, "part"])
 
     return run
@@ -124,18 +145,20 @@ def _probe(late_us: int):
                     continue
                 if table is None:
                     t = pa.Table.from_batches(held) if held else None
-                    names = np.array([f"{s}\x1f{k}".encode() for s, k in zip(t.column("space").to_pylist(), t.column("key").to_pylist())], object) if held else np.zeros(0, object)
-                    order = np.argsort(names)
-                    keys = names[order]
+                    full, names = _keys(t) if held else ([], np.zeros(0, f"S{KEY_BYTES}"))
+                    order = np.argsort(names, kind="stable")
+                    keys, whole = names[order], [full[k] for k in order.tolist()]
                     first = t.column("us").to_pandas().to_numpy(float)[order] if held else np.zeros(0)
                     there, gone = (t.column(c).to_numpy().astype(bool)[order] if held else np.zeros(0, bool) for c in ("there", "gone"))
-                    table, held = (keys, first, there, gone), []
-                keys, first, there, gone = table
-                wanted = np.array([f"{s}\x1f{k}".encode() for s, k in zip(piece.column("space").to_pylist(), piece.column("key").to_pylist())], object)
+                    table, held = (keys, whole, first, there, gone), []
+                keys, whole, first, there, gone = table
+                asked, wanted = _keys(piece)
                 pos = np.searchsorted(keys, wanted, "left")
                 hit = np.zeros(len(wanted), bool)
                 inside = pos < len(keys)
                 hit[inside] = keys[pos[inside]] == wanted[inside]
+                for k in np.flatnonzero(hit & (np.char.str_len(wanted) >= KEY_BYTES)).tolist():
+                    hit[k] = whole[pos[k]] == asked[k]
                 safe = np.where(hit, pos, 0)
                 us = piece.column("us").to_pandas().to_numpy(float)
                 if len(keys):

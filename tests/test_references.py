@@ -33,5 +33,12 @@ def test_hot_key_spans_ranges(spark):
         assert len(got) == 400 and {g[3] for g in got} == {"missing"} and {g[2] for g in got} == {"none"}
 
 
+def test_long_and_odd_keys(spark):
+    long = "k" * 90
+    rows = [("a", [long + "1", long + "2", "z\0", "z", "é" * 40], None, None, T0, T0, "x"), (long + "1", None, None, None, T0, T0, "x"), ("z", None, None, None, T0, T0, "x"), ("é" * 40, None, None, None, T0, T0, "x")]
+    for ranges in (1, 4):
+        assert [g[2] for g in _found(spark, rows, [], ranges)] == [long + "2", "z\0"]
+
+
 def test_empty_tables(spark):
     assert _found(spark, [], []) == []

@@ -18,7 +18,12 @@ verified on the words themselves.
 
 Records with equal word sets form one class and are joined once; classes up to
 ``expand`` members come out as all their pairs, larger ones as a star around their
-smallest id, so that no group of copies is squared.
+smallest id, so that no group of copies is squared. A class is known by a 64-bit hash of
+its words; a second, independent one is carried along, and a query whose data hold two word
+sets that agree in the first and not in the second stops instead of mixing them up.
+
+Groups are the connected components of the links between classes, so a record belongs to
+one group however many records it is similar to.
 
 Edge cases: null content or quote counts as empty; records with fewer than
 ``min_words`` distinct words take no part; a repeated id counts once; an empty table
@@ -35,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.session import keep, shuffle_partitions
+from memloom.llm.components import components
+from memloom.session import keep, materialize, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
 RATIO = 3  # a size band holds sizes s with low <= s < 3 * low
@@ -153,7 +159,7 @@ def _word_lines(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, sizes, lines = [], [], [], []
+            ids, keys, checks, sizes, lines = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(WORD.findall(text.lower()))
                 if len(words) < min_words or key is None:
@@ -161,11 +167,12 @@ def _word_lines(min_words: int):
                 line = " ".join(sorted(words))
                 ids.append(key)
                 keys.append(xxhash.xxh64_intdigest(line) - (1 << 63))
+                checks.append(xxhash.xxh64_intdigest(line, 1) - (1 << 63))
                 sizes.append(len(words))
                 lines.append(line)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lines, pa.string())],
-                names=["id", "skey", "n", "words"],
+                [pa.array(ids, pa.string()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lines, pa.string())],
+                names=["id", "skey", "check", "n", "words"],
             )
 
     return run
@@ -372,9 +379,9 @@ def reduced_to(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
 
 def word_sets(records: DataFrame, key: str, texts: list[str], min_words: int) -> DataFrame:
-    """(id, skey, n, words): the distinct words of each record, sorted, and the class key of that set."""
+    """(id, skey, check, n, words): the distinct words of each record, sorted, and two hashes of that set, the first of which is the class key."""
     text: Column = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in texts])
-    return records.select(F.col(key).cast("string"), text).mapInArrow(_word_lines(min_words), "id string, skey long, n int, words string")
+    return records.select(F.col(key).cast("string"), text).mapInArrow(_word_lines(min_words), "id string, skey long, check long, n int, words string")
 
 
 def class_links(sets: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
@@ -396,12 +403,17 @@ def class_links(sets: DataFrame, num: int, den: int, min_words: int) -> DataFram
     return both.where(den * shared >= num * (F.size(a) + F.size(b) - shared)).select("ka", "kb")
 
 
+def _one_set() -> Column:
+    """Of a class, true; an error if two word sets share its key."""
+    return F.when(F.min("check") == F.max("check"), F.lit(True)).otherwise(F.raise_error(F.lit("two word sets share a 64-bit key")).cast("boolean"))
+
+
 def near_duplicate_pairs(records: DataFrame, key: str, texts: list[str], num: int = 7, den: int = 10, min_words: int = 24, expand: int = 1000) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all similar pairs, copies of more than ``expand`` members as stars."""
     sets = keep(word_sets(records, key, texts, min_words))
     members = sets.select("skey", "id")
     # repeated deliveries count here too: that only sends their class through the distinct below
-    sized = keep(sets.groupBy("skey").agg(F.count("*").alias("copies"), F.min("id").alias("first")))
+    sized = keep(sets.groupBy("skey").agg(F.count("*").alias("copies"), F.min("id").alias("first"), _one_set().alias("sound")).where("sound").drop("sound"))
     many = keep(sized.where("copies > 1"))
     links = keep(class_links(sets, num, den, min_words))
     linked = reduced_to(members, "skey", links.select(F.explode(F.array("ka", "kb")).alias("skey")))
@@ -415,10 +427,14 @@ def near_duplicate_pairs(records: DataFrame, key: str, texts: list[str], num: in
 
 
 def near_duplicate_classes(records: DataFrame, key: str, texts: list[str], num: int = 7, den: int = 10, min_words: int = 24) -> DataFrame:
-    """(id, class_id, copies, links): each record with its class of equal word sets and the number of other classes that it is similar to."""
+    """(id, class_id, copies, links, group_id): each record with its class of equal word sets (by smallest id), the number of other classes
+    that it is similar to, and its group of classes connected by similarity (by smallest id)."""
     sets = keep(word_sets(records, key, texts, min_words))
-    members = sets.select("skey", "id").distinct()
-    sized = members.groupBy("skey").agg(F.count("*").alias("copies"), F.min("id").alias("class_id"))
-    links = class_links(sets, num, den, min_words)
+    members = keep(sets.select("skey", "check", "id").distinct())
+    sized = members.groupBy("skey").agg(F.count("*").alias("copies"), F.min("id").alias("class_id"), _one_set().alias("sound")).where("sound").drop("sound")
+    links = materialize(class_links(sets, num, den, min_words), "links")
     degree = links.select(F.explode(F.array("ka", "kb")).alias("skey")).groupBy("skey").agg(F.count("*").alias("links"))
-    return members.join(sized, "skey").join(degree, "skey", "left").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    of_class = materialize(sized.join(degree, "skey", "left").join(components(links, "ka", "kb").withColumnRenamed("node", "skey"), "skey", "left").withColumn("component", F.coalesce("component", "skey")), "classes")
+    groups = of_class.groupBy("component").agg(F.min("class_id").alias("group_id"))
+    named = of_class.join(groups, "component").select("skey", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "group_id")
+    return members.select("skey", "id").join(named, "skey").select("id", "class_id", "copies", "links", "group_id")

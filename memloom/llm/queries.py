@@ -30,6 +30,24 @@ SELECT id_a, id_b FROM pairs WHERE 10 * shared >= 7 * (na + nb - shared)
 """
 
 
+_P1_CLASSES = r"""
+WITH RECURSIVE words AS (
+  SELECT id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(content, '') || ' ' || coalesce(quote, '')), '[\p{L}\p{N}]+'))) AS w
+  FROM (SELECT id, any_value(content) AS content, any_value(quote) AS quote FROM artifacts GROUP BY id)),
+big AS (SELECT id, len(w) AS n, w, min(id) OVER (PARTITION BY w) AS class_id, count(*) OVER (PARTITION BY w) AS copies FROM words WHERE len(w) >= 24),
+tokens AS (SELECT id, n, unnest(w) AS t FROM big WHERE id = class_id),
+pairs AS (
+  SELECT a.id AS x, b.id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM pairs WHERE 10 * shared >= 7 * (na + nb - shared)),
+reach AS (SELECT class_id AS x, class_id AS y FROM big UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+groups AS (SELECT x, min(y) AS group_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS links FROM links GROUP BY x)
+SELECT id, class_id, copies, coalesce(links, 0) AS links, group_id
+FROM big JOIN groups ON groups.x = class_id LEFT JOIN degree ON degree.x = class_id
+"""
+
+
 def _p3(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_items(table(spark, folder, "chunks"), "chunk_id", "content", "source_turns")
 
@@ -82,6 +100,10 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
     return endings.cut_rates(_p6(spark, folder))
 
 
+def p6_deciders(spark: SparkSession, folder: str) -> DataFrame:
+    return endings.deciders(_p6(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
@@ -139,6 +161,7 @@ QUERIES = {
     "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
+    "p6_deciders": p6_deciders,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_pack": p8_pack,
@@ -148,6 +171,7 @@ QUERIES = {
 }
 ORACLE = {
     "p1_found": _P1,
+    "p1_classes": _P1_CLASSES,
     "p3_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 512",
     "p7_round_trip": "SELECT count(*) AS n_documents, count(*) AS n_equal FROM documents",
     "p4_found": _P4,

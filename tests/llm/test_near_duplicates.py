@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from memloom.llm import near_duplicates as N
+from memloom.llm.components import components
 
 VOCABULARY = [f"w{k}" for k in range(400)]
 
@@ -51,9 +52,29 @@ def test_large_classes_become_stars(spark):
 def test_empty_and_classes(spark):
     assert pairs(spark, []) == set()
     text = " ".join(VOCABULARY[:30])
-    df = spark.createDataFrame([("a", text), ("b", text), ("c", text + " more")], "id string, content string")
-    got = {r.id: (r.class_id, r.copies, r.links) for r in N.near_duplicate_classes(df, "id", ["content"]).collect()}
-    assert got == {"a": ("a", 2, 1), "b": ("a", 2, 1), "c": ("c", 1, 1)}
+    other = " ".join(VOCABULARY[100:130])
+    df = spark.createDataFrame([("a", text), ("b", text), ("c", text + " more"), ("d", other), ("a", text)], "id string, content string")
+    got = {r.id: (r.class_id, r.copies, r.links, r.group_id) for r in N.near_duplicate_classes(df, "id", ["content"]).collect()}
+    assert got == {"a": ("a", 2, 1, "a"), "b": ("a", 2, 1, "a"), "c": ("c", 1, 1, "a"), "d": ("d", 1, 0, "d")}
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(200)] + [(5, 5), (None, 3), (1000, 1001)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        if x is not None and x != y:
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "p long, q long"), "p", "q").collect()}
+    assert got == {x: find(x) for x in list(root)} and got[1060] == 1000
+    assert components(spark.createDataFrame([], "p long, q long"), "p", "q").count() == 0
 
 
 @settings(max_examples=200, deadline=None)

@@ -1,21 +1,26 @@
 """Problem 6: values that were cut before their author's end, and how often each source cuts.
 
-Method: prefix self-join. All distinct values, stripped of whatever was put after the
-stop, are sorted over explicit range cut points; a value is a strict prefix of a longer
-copy elsewhere exactly if a value in the run that follows it in that order goes on inside
-a word or sentence. A value that begins the cut point after its range is also sent to the
-ranges its run reaches, so no pair is lost at a border. The same
-join runs on masked sentence openings (names, figures and codes masked): an unfinished
-last sentence is recognised as the beginning of a longer sentence used elsewhere.
-
-The ending itself decides the plain cases: a value that ends a sentence, a list item, a
-link or a reference code is whole; one that breaks off inside a later sentence is cut.
-Single unfinished fragments ("6 December 2025", "my brother is plan") are the open
-cases that the two joins settle.
+Method: prefix self-join, on two levels. All distinct values, stripped of whatever was put
+after the stop, are sorted over explicit range cut points; a value is a strict prefix of a
+longer copy elsewhere exactly if a value in the run that follows it in that order goes on
+inside a word or sentence. A value that begins the cut point after its range is also sent
+to the ranges its run reaches, so no pair is lost at a border. Few cut values have an
+untouched copy, but most break off in a sentence whose like occurs elsewhere: so the last,
+unfinished sentence of each value is joined, by the hash-keyed prefixes of its masked tokens
+(names, figures and codes masked), with the beginnings of all finished sentences.
+
+The joins decide; what they may decide about is told by the ending. A value that ends a
+sentence, a list item, a link or a reference code is whole. A fragment in a later sentence,
+or one of seven tokens or more, is broken off, and a prefix of three masked tokens and a
+character that goes on elsewhere settles it; a single shorter fragment ("6 December 2025",
+"my brother is plan") needs five. Only a broken-off fragment that leaves the join nothing to
+compare, because it has fewer than two tokens or begins with masks alone, is decided by its
+ending. ``decider`` says what decided: 'value', 'sentence' or 'ending'.
 
 Edge cases: null, blank, punctuation-only values and stand-ins for nothing are never
 cut; a key delivered more than once counts once; empty tables give no rows; further
-columns are ignored.
+columns are ignored; values under ``least`` characters take no part in the join of values,
+since a word like "Yes" begins many longer values and is still a whole answer.
 """
 
 from __future__ import annotations
@@ -97,39 +102,45 @@ def opening_key(tokens: list[str], n: int) -> str:
     return " ".join(tokens[:n]) + "|" + tokens[n][0]
 
 
-def judge(text: str | None) -> tuple[str, str, str]:
-    """(verdict, stem, key): 'whole', 'cut' or 'open'; the value without its tail; the masked opening that settles an open case."""
+def broken_key(fragment: str) -> str:
+    """The shortest key of three to five tokens of a broken-off fragment, of fewer if it has no more; empty if there is nothing to compare."""
+    tokens = skeleton(fragment)
+    least = min(3, len(tokens) - 1)
+    return next((k for n in range(max(1, least), 6) if (k := opening_key(tokens, n))), "")
+
+
+def judge(text: str | None) -> tuple[str, str, str, str]:
+    """(verdict, stem, key, sign): 'whole', 'cut' (broken off) or 'open'; the value without its tail; the masked opening that settles it; 'mark' if something was put after the stop."""
     if not bare(text):
-        return "whole", "", ""
+        return "whole", "", "", ""
     stem = text.rstrip(BLANKS)
     marked = TAIL.search(stem, len(stem.rstrip(IN_TAIL))) if stem[-1:] not in LETTERS_AT_END else None
     if marked:
         body = stem[: marked.start()]
         if not bare(body) or ON_PURPOSE.search(body):
-            return "whole", body, ""
+            return "whole", body, "", ""
         if "\ufffd" in marked.group() or not FULL_STOP.search(CLOSERS.sub("", body)):
-            return "cut", CLOSERS.sub("", body), ""
-        return "whole", body, ""
+            body = CLOSERS.sub("", body)
+            return "cut", body, broken_key([p for p in SPLIT.split(body) if p.strip()][-1].strip()), "mark"
+        return "whole", body, "", ""
     body = CLOSERS.sub("", stem)
     if FULL_STOP.search(body):
-        return "whole", body, ""
+        return "whole", body, "", ""
     if stem[-1:] in "}]" or stem.endswith("```") or LINK.search(body):
-        return "whole", body, ""
+        return "whole", body, "", ""
     if ON_PURPOSE.search(body):
-        return "whole", body, ""
+        return "whole", body, "", ""
     lines = body.split("\n")
     if ITEM.match(lines[-1]):
-        return "open", body, ""
+        return "open", body, "", ""
     parts = [p for p in SPLIT.split(body) if p.strip()]
     last = parts[-1].strip()
     tokens = skeleton(last)
     if CODE.search(last) and len(tokens) <= 3:
-        return "open", body, opening_key(tokens, len(tokens) - 1)
-    if len(parts) > 1:
-        return "cut", body, ""
-    if len(tokens) >= 7 and (last[0].isupper() or ord(last[0]) > 0x3400):
-        return "cut", body, ""
-    return "open", body, opening_key(tokens, min(5, len(tokens) - 1))
+        return "open", body, opening_key(tokens, len(tokens) - 1), ""
+    if len(parts) > 1 or len(tokens) >= 7 and (last[0].isupper() or ord(last[0]) > 0x3400):
+        return "cut", body, broken_key(last), ""
+    return "open", body, opening_key(tokens, min(5, len(tokens) - 1)), ""
 
 
 def _judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +148,8 @@ def _judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [judge(t) for t in b.column("text").to_pylist()]
         cols = [b.column(c) for c in b.schema.names if c != "text"]
         names = [c for c in b.schema.names if c != "text"]
-        extra = [pa.array([g[k] for g in got], pa.string()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([*cols, *extra], names=[*names, "verdict", "stem", "opening"])
+        extra = [pa.array([g[k] for g in got], pa.string()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([*cols, *extra], names=[*names, "verdict", "stem", "opening", "sign"])
 
 
 def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,29 +217,39 @@ def _strict_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["stem"])
 
 
-def strict_prefixes(values: DataFrame, column: str = "stem", least: int = 8, sample: int = 5_000) -> DataFrame:
+def strict_prefixes(values: DataFrame, column: str = "stem", least: int = 8, sample: int = 4_096) -> DataFrame:
     """(stem): values of at least ``least`` characters that are strict prefixes of longer ones. Runs a bounded sample for the cut points first."""
     spark = values.sparkSession
     parts = shuffle_partitions(spark)
     stems = values.where(F.length(column) >= least).select(F.col(column).alias("stem"))
-    drawn = sorted((r.stem for r in stems.orderBy(F.xxhash64("stem")).limit(sample).collect()), key=str.encode)
+    # a uniform sample of fixed size: the least hash of each of a fixed number of buckets; cut points may be beginnings
+    buckets = max(sample, 32 * parts)
+    least_of = stems.select(F.xxhash64("stem").alias("h"), F.substring("stem", 1, 64).alias("s")).groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.min(F.struct("h", "s")).alias("m"))
+    drawn = sorted((r.s for r in least_of.select("m.s").collect()), key=str.encode)
     cuts = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}, key=str.encode) if drawn else []
     placed = stems.mapInArrow(_place(cuts), "stem string, part int")
     return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "stem").mapInArrow(_strict_prefixes, "stem string").distinct()
 
 
 def endings(values: DataFrame) -> DataFrame:
-    """(tab, rec_key, field_name, source, cut, longer) for each record of (tab, rec_key, field_name, source, text)."""
-    schema = ", ".join(f"{c} string" for c in ("tab", "rec_key", "field_name", "source", "verdict", "stem", "opening"))
+    """(tab, rec_key, field_name, source, cut, decider) for each record of (tab, rec_key, field_name, source, text)."""
+    schema = ", ".join(f"{c} string" for c in ("tab", "rec_key", "field_name", "source", "verdict", "stem", "opening", "sign"))
     texts = values.select("tab", "rec_key", "field_name", "source", "text").dropDuplicates(["tab", "rec_key", "field_name"])
     judged = keep(texts.mapInArrow(_judge_rows, schema))
     longer = strict_prefixes(judged)
     known = values.select("text").mapInArrow(_openings, "opening string").distinct()
     unsure = judged.where("verdict <> 'whole'").join(longer.withColumn("longer", F.lit(True)), "stem", "left")
     settled = unsure.join(known.withColumn("known", F.lit(True)), "opening", "left")
-    found = settled.select("tab", "rec_key", "field_name", (F.col("verdict") == "cut").alias("sure"), F.coalesce("longer", F.lit(False)).alias("longer"), F.coalesce("known", F.lit(False)).alias("known"))
-    marked = found.select("tab", "rec_key", "field_name", (F.col("sure") | F.col("longer") | F.col("known")).alias("cut"), "longer")
-    return judged.select("tab", "rec_key", "field_name", "source").join(marked, ["tab", "rec_key", "field_name"], "left").select("tab", "rec_key", "field_name", "source", F.coalesce("cut", F.lit(False)).alias("cut"), F.coalesce("longer", F.lit(False)).alias("longer"))
+    # a mark put after the stop is itself the sign of a cut, as is a break that leaves nothing to compare
+    told = (F.col("sign") == "mark") | ((F.col("verdict") == "cut") & (F.col("opening") == ""))
+    decider = F.when(F.col("longer"), "value").when(F.col("known"), "sentence").when(told, "ending")
+    found = settled.select("tab", "rec_key", "field_name", decider.alias("decider")).where("decider is not null")
+    return judged.select("tab", "rec_key", "field_name", "source").join(found, ["tab", "rec_key", "field_name"], "left").select("tab", "rec_key", "field_name", "source", F.col("decider").isNotNull().alias("cut"), "decider")
+
+
+def deciders(judged: DataFrame) -> DataFrame:
+    """(tab, decider, n_values): how many cut values each step decides."""
+    return judged.where("cut").groupBy("tab", "decider").agg(F.count("*").alias("n_values"))
 
 
 def cut_rates(judged: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
-"""Problem 5: broken prompt and response pairs, with the type of each defect.
+"""Broken prompt and response pairs (problem 5), with the type of each defect.
 
-Method: response openings (first sentence without lead-ins such as apologies, names and
-figures masked) are clustered by MinHash over five-word shingles, candidate pairs
-verified at a Jaccard similarity of 0.8. A cluster, or a first shingle, that recurs
-across unrelated prompts is a template; a template that declines or reports that nothing
-is known, with no answer beside it, is a refusal. Copy, language and termination checks
-label what remains.
+Method: response openings (the whole first sentence without lead-ins such as apologies,
+names and figures masked) are clustered by MinHash over five-word shingles, candidate
+pairs verified at a Jaccard similarity of 0.8. Openings that begin with the same five words
+share a shingle that no similarity of whole openings would find ("I am not able to" goes on
+in many ways), so the first shingle is an item of its own, verified by being equal; clusters
+are the connected components of both kinds of links. A cluster that recurs across unrelated
+prompts is a template; a template that declines or reports that nothing is known, with no
+answer beside it, is a refusal. Copy, language and termination checks label what remains.
+
+Prompts are told apart by their first PROMPT_WORDS masked words. A cluster recurs across
+unrelated prompts if it answers MIN_PROMPTS of them or more and no prompt has more than
+TOP_SHARE of its responses, a share that does not move with the amount of data.
 
 At most one defect per field, in this order: empty, copy, refusal, truncated, language.
 ``ground_truth`` is judged for empty, copy and language only.
@@ -20,15 +26,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.components import components
 from memloom.llm.endings import SPLIT, bare, judge, skeleton
-from memloom.session import keep
+from memloom.session import materialize
 
-SHINGLE, SIMILAR, BANDS, ROWS, OPENING_WORDS = 5, 0.8, 8, 3, 12
-MIN_PROMPTS = 2  # unrelated prompts that make a recurring opening a template
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 8, 3
+MIN_PROMPTS, TOP_SHARE, PROMPT_WORDS = 2, 0.9, 5  # what makes a recurring opening a template
 
 # fixed values: lead-ins, signs of declining, polite tails, and words around a repeated question
 LEAD = re.compile(
@@ -124,13 +132,12 @@ def declining(text: str) -> str:
 
 
 def opening_of(text: str) -> list[str]:
-    """Masked tokens of the first sentence without lead-ins, at most OPENING_WORDS of them."""
+    """Masked tokens of the first sentence without lead-ins."""
     rest = text.strip()
     for _ in range(4):
         rest = LEAD.sub("", rest, count=1)
     parts = [p for p in SPLIT.split(rest) if p and p.strip()]
-    tokens = [t for t in skeleton(parts[0].replace("I'm", "I am").replace("i'm", "i am")) if t not in ",:$"] if parts else []
-    return tokens[:OPENING_WORDS]
+    return [t for t in skeleton(parts[0].replace("I'm", "I am").replace("i'm", "i am")) if t not in ",:$"] if parts else []
 
 
 def _shingles(opening: str) -> set[str]:
@@ -140,7 +147,7 @@ def _shingles(opening: str) -> set[str]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: dict[str, list] = {c: [] for c in ("prompt", "opening", "head", "plain", "declines", "ending")}
+        out: dict[str, list] = {c: [] for c in ("prompt", "opening", "plain", "declines", "ending")}
         for field, question, text in zip(b.column("field_name").to_pylist(), b.column("question").to_pylist(), b.column("text").to_pylist()):
             asked = question or ""
             mask = skeleton(asked)
@@ -156,9 +163,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if field == "answer":
                     declines = declining(text) != ""
                     ending = judge(text)[0]
-            out["prompt"].append(" ".join(mask[:3]))
+            out["prompt"].append(" ".join(mask[:PROMPT_WORDS]))
             out["opening"].append(" ".join(opening))
-            out["head"].append(" ".join(opening[:SHINGLE]))
             out["plain"].append(plain)
             out["declines"].append(declines)
             out["ending"].append(ending)
@@ -169,48 +175,84 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_MULTIPLY, _ADD = (np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64, endpoint=False) | np.uint64(1))
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The MinHash bands of each opening of two shingles or more; one shingle is an item of its own already."""
     import xxhash
 
     for b in batches:
         names, keys = [], []
         for opening in b.column(0).to_pylist():
-            lows = [min(xxhash.xxh64_intdigest(s, seed) for s in _shingles(opening)) for seed in range(BANDS * ROWS)]
+            shingles = _shingles(opening)
+            if len(shingles) < 2:
+                continue
+            h = np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64)
+            with np.errstate(over="ignore"):
+                lows = (h[:, None] * _MULTIPLY + _ADD).min(axis=0)
             for k in range(BANDS):
                 names.append(opening)
-                keys.append(xxhash.xxh64_intdigest(repr((k, lows[k * ROWS : (k + 1) * ROWS]))) - (1 << 63))
+                keys.append(xxhash.xxh64_intdigest(lows[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.int64())], names=["opening", "band"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by band and opening, each opening with the first of its band's leaders that is similar to it; others lead."""
+    band, leaders = None, []
     for b in batches:
-        keep_row = []
-        for x, y in zip(b.column("opening").to_pylist(), b.column("first").to_pylist()):
-            a, c = _shingles(x), _shingles(y)
-            keep_row.append(len(a & c) >= SIMILAR * len(a | c))
-        yield b.filter(pa.array(keep_row, pa.bool_()))
+        ours, theirs = [], []
+        for opening, key in zip(b.column("opening").to_pylist(), b.column("band").to_pylist()):
+            if key != band:
+                band, leaders = key, []
+            mine = _shingles(opening)
+            for name, shingles in leaders:
+                if len(mine & shingles) >= SIMILAR * len(mine | shingles):
+                    ours.append(opening)
+                    theirs.append(name)
+                    break
+            else:
+                leaders.append((opening, mine))
+        yield pa.RecordBatch.from_arrays([pa.array(ours, pa.string()), pa.array(theirs, pa.string())], names=["opening", "leader"])
 
 
-def opening_clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster) for distinct openings: each joins the smallest opening of its bands that verifies."""
+def similar_openings(openings: DataFrame) -> DataFrame:
+    """(opening, leader): verified links between distinct openings that share a band."""
     bands = openings.select("opening").mapInArrow(_bands, "opening string, band long")
-    firsts = bands.groupBy("band").agg(F.min("opening").alias("first"))
-    near = bands.join(firsts, "band").select("opening", "first").distinct().mapInArrow(_verified, "opening string, first string")
-    return near.groupBy("opening").agg(F.min("first").alias("cluster"))
+    return bands.repartition("band").sortWithinPartitions("band", "opening").mapInArrow(_verified, "opening string, leader string").distinct()
+
+
+def _head(opening: str) -> Column:
+    return F.array_join(F.slice(F.split(opening, " "), 1, SHINGLE), " ")
+
+
+def opening_clusters(openings: DataFrame, clustering: bool = True) -> DataFrame:
+    """(opening, cluster) for distinct openings; each is its own cluster if ``clustering`` is switched off."""
+    if not clustering:
+        return openings.select("opening", F.col("opening").alias("cluster"))
+    # openings of one head are one cluster, so only links between heads are left to follow
+    links = similar_openings(openings).select(_head("opening").alias("a"), _head("leader").alias("b")).where("a <> b").distinct()
+    merged = components(links, "a", "b").withColumnsRenamed({"node": "head", "component": "root"})
+    heads = openings.select("opening", _head("opening").alias("head"))
+    return heads.join(merged, "head", "left").select("opening", F.coalesce("root", "head").alias("cluster"))
+
+
+def templates(asked: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster): clusters that recur across unrelated prompts, of (opening, prompt, count)."""
+    per_prompt = asked.join(clusters, "opening").groupBy("cluster", "prompt").agg(F.sum("count").alias("n"))
+    spread = per_prompt.groupBy("cluster").agg(F.count("*").alias("prompts"), (F.max("n") / F.sum("n")).alias("top"))
+    return spread.where((F.col("prompts") >= MIN_PROMPTS) & (F.col("top") <= TOP_SHARE)).select("cluster")
 
 
-def pair_defects(pairs: DataFrame) -> DataFrame:
-    """(tab, pair_id, field_name, defect) of (tab, pair_id, field_name, question, text)."""
+def pair_defects(pairs: DataFrame, clustering: bool = True) -> DataFrame:
+    """(tab, pair_id, field_name, defect) of (tab, pair_id, field_name, question, text). Writes the features of the rows as a table first."""
     once = pairs.dropDuplicates(["tab", "pair_id", "field_name"])
-    rows = keep(once.select("tab", "pair_id", "field_name", "question", "text").mapInArrow(_features, "tab string, pair_id long, field_name string, prompt string, opening string, head string, plain string, declines boolean, ending string"))
-    asked = rows.where("opening <> '' and plain <> 'copy'").groupBy("opening", "head", "prompt").count()
-    clusters = opening_clusters(asked.select("opening").distinct())
-    by_cluster = asked.join(clusters, "opening").select("cluster", "prompt").distinct().groupBy("cluster").agg(F.count("*").alias("n"))
-    of_opening = clusters.join(by_cluster.where(F.col("n") >= MIN_PROMPTS), "cluster", "left_semi").select("opening", F.lit(True).alias("template"))
-    of_head = asked.select("head", "prompt").distinct().groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PROMPTS).select("head", F.lit(True).alias("common"))
+    rows = materialize(once.select("tab", "pair_id", "field_name", "question", "text").mapInArrow(_features, "tab string, pair_id long, field_name string, prompt string, opening string, plain string, declines boolean, ending string"), "pairs")
+    asked = rows.where("opening <> '' and plain <> 'copy'").groupBy("opening", "prompt").count()
+    clusters = materialize(opening_clusters(asked.select("opening").distinct(), clustering), "openings")
+    of_opening = clusters.join(templates(asked, clusters), "cluster", "left_semi").select("opening")
     # only declining rows ask whether their opening is a template, so no frequent answer opening is joined
-    known = rows.where("declines").select("tab", "pair_id", "field_name", "opening", "head").join(of_opening, "opening", "left").join(of_head, "head", "left")
-    refusals = known.where("template or common").select("tab", "pair_id", "field_name", F.lit(True).alias("refusal"))
+    refusals = rows.where("declines").select("tab", "pair_id", "field_name", "opening").join(of_opening, "opening", "left_semi").select("tab", "pair_id", "field_name", F.lit(True).alias("refusal"))
     judged = rows.where("plain <> '' or declines or ending <> 'whole'").join(refusals, ["tab", "pair_id", "field_name"], "left")
     defect = (
         F.when(F.col("plain").isin("empty", "copy"), F.col("plain"))

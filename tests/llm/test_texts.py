@@ -30,8 +30,14 @@ def test_cut_values_against_longer_copies(spark):
         (None, "7", "We met. Then the other pa"),
     ]
     df = spark.createDataFrame([("t", k, "f", s, t, "x") for s, k, t in rows], "tab string, rec_key string, field_name string, source string, text string, stem string")
-    got = {r.rec_key: (r.cut, r.longer) for r in endings.endings(df).collect()}
-    assert {k for k, v in got.items() if v[0]} == {"2", "5", "7"} and got["5"][1] and len(got) == 7
+    got = {r.rec_key: r.decider for r in endings.endings(df).collect()}
+    assert got == {"1": None, "2": "value", "3": None, "4": None, "5": "value", "6": None, "7": None}
+    # what goes on elsewhere, in another record, decides; only what leaves nothing to compare is told by its ending
+    more = [("c", "8", "We saw it. Then the other path was closed for the day."), ("c", "9", "We saw it. Mira"), ("c", "10", "We saw it. Quite another thing tha"), ("c", "11", "We saw it. Nine plain plans of ..."), ("c", "12", "Then the other path was")]
+    df = spark.createDataFrame([("t", k, "f", s, t, "x") for s, k, t in rows + more], df.schema)
+    got = {r.rec_key: r.decider for r in endings.endings(df).collect()}
+    assert {k: v for k, v in got.items() if v} == {"2": "value", "5": "value", "7": "sentence", "9": "ending", "11": "ending", "12": "sentence"}
+    assert {(r.tab, r.decider): r.n_values for r in endings.deciders(endings.endings(df)).collect()} == {("t", "value"): 2, ("t", "sentence"): 2, ("t", "ending"): 2}
     rates = {r.source: (r.n_values, r.n_cut) for r in endings.cut_rates(endings.endings(df)).collect()}
     assert rates["a"] == (3, 1) and rates[None] == (1, 1)
     assert endings.endings(df.limit(0)).count() == 0
@@ -96,6 +102,29 @@ def test_pair_defects(spark):
     assert pairs.pair_defects(df.limit(0)).count() == 0
 
 
+def test_refusals_come_from_clusters(spark):
+    """Variants of a refusal are one cluster; without clustering none recurs, so nothing is a refusal."""
+    said = ["I'm sorry, but I am not able to comment on that.", "I am not able to discuss such requests.", "Unfortunately, I'm not able to reveal your question."]
+    asked = ["Who owns the plan?", "When did we move the fair?", "How many people came?"]
+    rows = [("agent_responses", k, "answer", q, a) for k, (q, a) in enumerate(zip(asked, said))]
+    rows += [("agent_responses", 10 + k, "answer", "Which host keeps the old notes?", "I am unable to see it in there at all.") for k in range(30)]
+    df = spark.createDataFrame(rows, "tab string, pair_id long, field_name string, question string, text string")
+    assert {r.pair_id: r.defect for r in pairs.pair_defects(df).collect()} == {k: "refusal" for k in range(3)}
+    assert pairs.pair_defects(df, clustering=False).count() == 0
+    openings = spark.createDataFrame([(" ".join(pairs.opening_of(a)),) for a in said], "opening string")
+    assert pairs.opening_clusters(openings).select("cluster").distinct().count() == 1
+
+
+def test_similar_openings_are_verified_and_join_heads(spark):
+    base = [f"w{k}" for k in range(40)]
+    near, far = ["other", *base[1:]], [*base[:20], *[f"v{k}" for k in range(20)]]
+    openings = spark.createDataFrame([(" ".join(o),) for o in (base, near, far, base[5:9], ["lone"])], "opening string")
+    links = {(r.opening, r.leader) for r in pairs.similar_openings(openings).collect()}
+    assert links == {(" ".join(base), " ".join(near))}
+    got = {r.opening: r.cluster for r in pairs.opening_clusters(openings).collect()}
+    assert got[" ".join(base)] == got[" ".join(near)] == got[" ".join(far)] and len(set(got.values())) == 3
+
+
 DOCUMENTS = [
     ("Hello {{name}}, your export is ready.", True), ("Dear <CITY>, thanks.", True), ("Hello null, your budget of NaN USD is there.", True), ("Lorem ipsum dolor sit amet, consectetur.", True),
     ("404 Not Found", True), ('{"error": {"code": 500, "message": "bad gateway"}}', True), ("Please enable JavaScript and cookies in your browser.", True), ("请启用 JavaScript 以查看此页面。", True),

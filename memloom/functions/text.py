@@ -101,11 +101,18 @@ def adaptive_k(question: Column, base: int) -> Column:
     return F.when(contains_any(question, S.MULTIHOP_WORDS), F.lit(max(base, 15))).when(contains_any(question, S.WIDER_WORDS), F.lit(max(base, 12))).otherwise(F.lit(base))
 
 
+def phrase_pattern(phrases: list[str]) -> str:
+    """A pattern for any of the phrases as whole words."""
+    return r"\b(?:" + "|".join(phrases) + r")\b"
+
+
 def complexity(question: Column) -> Column:
     """'complex' for causal, comparative or long questions, else 'simple'."""
     low = F.lower(question)
-    hit = reduce(lambda a, b: a | b, [F.coalesce(low.rlike(p), F.lit(False)) for p in S.COMPLEX_PATTERNS])
-    return F.when(hit | (F.size(words(question)) > 15), "complex").otherwise("simple")
+    hit = low.rlike(phrase_pattern(S.COMPLEX_PHRASES))
+    for first, then in S.COMPLEX_PAIRS:
+        hit = hit | low.rlike(rf"\b{first}.*{then}\b")
+    return F.when(F.coalesce(hit, F.lit(False)) | (F.size(words(question)) > 15), "complex").otherwise("simple")
 
 
 def token_estimate(text: Column) -> Column:

@@ -23,9 +23,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """Length one; a zero vector stays zero."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    """Length one; a zero vector stays zero. One-element arrays bind the vector and its norm, so each is evaluated once."""
+    sized = F.transform(F.array(a), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.transform(sized, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"]))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

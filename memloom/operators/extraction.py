@@ -1,9 +1,7 @@
-"""From turns to artifacts: trigger rules, time expressions, deduplication, entities."""
+"""From turns to artifacts: trigger rules, model output, time expressions, deduplication, reference resolution."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,19 +54,6 @@ def resolved_times(artifacts: DataFrame) -> DataFrame:
     return rows.select("id", "event_time_raw", "session", T.resolved(F.col("event_time_raw"), T.session_time(F.col("session"))).alias("event_time"))
 
 
-def entities(text: Column) -> Column:
-    """Amounts with units, money, quoted terms and capitalised names of a text, lower case, each once."""
-    low = F.lower(text)
-    parts = [
-        F.regexp_extract_all(low, F.lit(r"(\b\d+(?:\.\d+)?\s*(?:gb|tb|mb|kb|requests?|hours?|minutes?|days?|weeks?|months?|years?|dollars?|people)\b)"), 1),
-        F.regexp_extract_all(text, F.lit(r"(\$[\d,]*\d)"), 1),
-        F.filter(F.regexp_extract_all(text, F.lit('"([^"]+)"'), 1), lambda q: F.length(q).between(3, 49)),
-        F.regexp_extract_all(text, F.lit(r"(https?://\S+)"), 1),
-    ]
-    every = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))
-    return F.array_sort(F.array_distinct(F.transform(every, lambda e: F.lower(F.trim(e)))))
-
-
 def resolve_by_keywords(references: DataFrame, candidates: DataFrame, floor: float = 0.3) -> DataFrame:
     """(ref_id, resolved_id, confidence): the best candidate of the conversation by shared words, type and turn; null below ``floor``.
 
@@ -86,5 +71,77 @@ def resolve_by_keywords(references: DataFrame, candidates: DataFrame, floor: flo
     return references.select("conv_id", "ref_id").join(best.select("conv_id", "ref_id", F.col("cand").alias("resolved_id"), "confidence"), ["conv_id", "ref_id"], "left").select("ref_id", "resolved_id", "confidence")
 
 
-def any_phrase(text: Column, phrases: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.lower(text).contains(p) for p in phrases])
+def parsed(rows: DataFrame, text: str, extra: list[str]) -> DataFrame:
+    """Artifacts that a model wrote as JSON: an object or an array of them, with or without a code fence.
+
+    Columns ``extra`` and (obj_type, content, quote, context, confidence, event_time_raw). An unknown type drops the
+    artifact, a missing one is key_fact; a missing confidence is 0.8; what is no JSON gives no rows.
+    """
+    body = X.fenced_json(F.col(text))
+    listed = F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    item = "array<struct<type:string,content:string,citation:string,context:string,confidence:double,time_expression:string>>"
+    each = rows.select(*extra, F.explode(F.from_json(listed, item)).alias("r")).select(*extra, "r.*")
+    kind = F.coalesce("type", F.lit("key_fact"))
+    texts = [F.coalesce(c, F.lit("")).alias(n) for c, n in (("content", "content"), ("citation", "quote"), ("context", "context"))]
+    return each.where(F.col("content").isNotNull() & kind.isin(S.TYPES)).select(*extra, kind.alias("obj_type"), *texts, F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.col("time_expression").alias("event_time_raw"))
+
+
+def gleaned(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Both passes of an extraction (conv_id, turn_id, content, context, ...): of the second what the first has not, its context marked."""
+    new = without_repeats(second, first).withColumn("context", F.concat(F.lit("[gleaned] "), F.coalesce("context", F.lit(""))))
+    return first.unionByName(new.select(first.columns))
+
+
+def merged_times(artifacts: DataFrame, found: DataFrame) -> DataFrame:
+    """(conv_id, id, event_time, event_time_raw, added): artifacts with their times filled in from the session, and the found time artifacts
+    (conv_id, turn_id, id, expression, event_time) of which the conversation's turn has neither the expression nor the time.
+
+    Found ones are not compared with each other.
+    """
+    own = with_sessions(artifacts)
+    filled = own.select("conv_id", "turn_id", "id", T.resolved(F.col("event_time_raw"), T.session_time(F.col("session"))).alias("event_time"), "event_time_raw")
+    raws = filled.where("event_time_raw is not null").select("conv_id", "turn_id", F.lower("event_time_raw").alias("k")).distinct()
+    times = filled.where("event_time is not null").select("conv_id", "turn_id", F.lower("event_time").alias("k")).distinct()
+    new = found.withColumn("k", F.lower("expression")).join(raws, ["conv_id", "turn_id", "k"], "left_anti").withColumn("k", F.lower("event_time")).join(times, ["conv_id", "turn_id", "k"], "left_anti")
+    return filled.select("conv_id", "id", "event_time", "event_time_raw", F.lit(False).alias("added")).unionByName(new.select("conv_id", "id", "event_time", F.col("expression").alias("event_time_raw"), F.lit(True).alias("added")))
+
+
+def resolve_by_vectors(references: DataFrame, candidates: DataFrame, floor: float = 0.5) -> DataFrame:
+    """(ref_id, resolved_id, confidence): the candidate of greatest cosine, of the hinted type if the conversation has any; null below ``floor``.
+
+    ``vec`` on both sides, unit length. A hint becomes part of the key, so typed and untyped candidates are searched as blocks.
+    """
+    from memloom.operators import blocks
+
+    def keyed(kind: Column) -> Column:
+        return F.concat_ws("\x1f", "conv_id", kind)
+
+    cands = candidates.select("conv_id", "obj_type", F.col("id").alias("doc_id"), "vec", F.array().cast("array<string>").alias("tokens"))
+    kinds = cands.select("conv_id", F.col("obj_type").alias("hint"), F.lit(True).alias("there")).distinct()
+    refs = references.join(kinds, ["conv_id", "hint"], "left").select(F.when(F.col("there"), keyed(F.col("hint"))).otherwise(F.col("conv_id")).alias("conv_id"), F.col("ref_id").alias("q_id"), "vec", F.array().cast("array<string>").alias("tokens"))
+    every = cands.drop("obj_type").unionByName(cands.withColumn("conv_id", keyed(F.col("obj_type"))).drop("obj_type"))
+    found = blocks.scored(every, refs, 1, "semantic")
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id")
+    best = found.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("q_id").alias("ref_id"), "doc_id", "score")
+    sure = F.col("score") >= floor
+    return references.select("ref_id").join(best, "ref_id", "left").select("ref_id", F.when(sure, F.col("doc_id")).alias("resolved_id"), F.coalesce(F.greatest("score", F.lit(0.0)), F.lit(0.0)).alias("confidence"))
+
+
+def resolve_by_both(by_keywords: DataFrame, by_vectors: DataFrame) -> DataFrame:
+    """(ref_id, resolved_id, confidence): both confidences together where the resolvers agree, else the surer one, the vectors' if they are equal."""
+    k = by_keywords.select("ref_id", F.col("resolved_id").alias("k"), F.coalesce("confidence", F.lit(0.0)).alias("kc"))
+    v = by_vectors.select("ref_id", F.col("resolved_id").alias("v"), F.col("confidence").alias("vc"))
+    agree, surer = F.col("k") == F.col("v"), F.col("vc") >= F.col("kc")
+    both = k.join(v, "ref_id")
+    return both.select("ref_id", F.when(agree, F.col("k")).when(surer, F.col("v")).otherwise(F.col("k")).alias("resolved_id"), F.round(F.when(agree, F.least(F.lit(1.0), F.col("kc") + F.col("vc"))).when(surer, F.col("vc")).otherwise(F.col("kc")), 6).alias("confidence"))
+
+
+def resolve(references: DataFrame, candidates: DataFrame, strategy: str = "hybrid") -> DataFrame:
+    """References to artifacts by 'keyword', 'embedding' or 'hybrid'; another strategy is an error."""
+    if strategy == "keyword":
+        return resolve_by_keywords(references, candidates)
+    if strategy == "embedding":
+        return resolve_by_vectors(references, candidates)
+    if strategy == "hybrid":
+        return resolve_by_both(resolve_by_keywords(references, candidates), resolve_by_vectors(references, candidates))
+    raise ValueError(f"unknown resolver {strategy!r}")

@@ -100,16 +100,42 @@ def levels(nodes: DataFrame, e: DataFrame) -> DataFrame:
     return stuck if done is None else done.unionByName(stuck)
 
 
-def expansion(hits: DataFrame, e: DataFrame, hops: int = 3, decay: float = 0.8, compound: bool = True) -> DataFrame:
-    """Graph neighbours of ranked results (conv_id, q_id, doc_id, score): the best decayed score over all seeds.
+def topological_order(nodes: DataFrame, e: DataFrame, relation: str = "leads_to") -> DataFrame:
+    """(conv_id, id, level): an order of each conversation's nodes by level, then id, in which every edge of the relation leads on.
 
-    A hop h multiplies by decay^h if ``compound`` (so h hops by decay^(h(h+1)/2)), else by decay. Seeds stay out.
+    A conversation with a cycle has no order, and an unknown relation gives none at all.
     """
+    if relation not in S.RELATIONS:
+        return nodes.select("conv_id", "id", F.lit(0).alias("level")).where("false")
+    found = materialize(levels(nodes, e.where(F.col("relation") == relation)), "levels")
+    return found.join(found.where("level is null").select("conv_id").distinct(), "conv_id", "left_anti")
+
+
+def expansion(hits: DataFrame, e: DataFrame, hops: int = 3, decay: float = 0.8) -> DataFrame:
+    """Graph neighbours of ranked results (conv_id, q_id, doc_id, rank, score) in the order of a breadth-first visit from the best result on.
+
+    A node is scored by the first node that reaches it, parents in the order in which they were reached, their neighbours in the
+    order of ``neighbours``, then by id: the parent's score times decay^hop, so h hops multiply by decay^(h(h+1)/2). Seeds stay out.
+    """
+    near = neighbours(e).select("conv_id", "id", "neighbour", "ord")
+    seen = hits.select("conv_id", "q_id", "doc_id", F.lit(0).alias("hops"), F.col("score").cast("double").alias("score"), F.col("rank").alias("pos"))
+    layer = seen
+    by_visit = Window.partitionBy("conv_id", "q_id").orderBy("first")
+    for hop in range(1, hops + 1):
+        reached = layer.withColumnRenamed("doc_id", "id").join(near, ["conv_id", "id"]).groupBy("conv_id", "q_id", F.col("neighbour").alias("doc_id")).agg(F.min(F.struct("pos", "ord", "neighbour")).alias("first"), F.min_by("score", F.struct("pos", "ord")).alias("parent"))
+        new = reached.join(seen.select("conv_id", "q_id", "doc_id"), ["conv_id", "q_id", "doc_id"], "left_anti")
+        layer = new.select("conv_id", "q_id", "doc_id", F.lit(hop).alias("hops"), (F.col("parent") * decay**hop).alias("score"), F.row_number().over(by_visit).alias("pos"))
+        seen = seen.unionByName(layer)
+    return seen.where("hops > 0").select("conv_id", "q_id", "doc_id", "hops", F.round("score", 6).alias("score"))
+
+
+def seed_expansion(hits: DataFrame, e: DataFrame, hops: int = 2, decay: float = 0.8) -> DataFrame:
+    """Graph neighbours of ranked results by true distance: decay^hops of the first seed, by rank, that reaches them. Seeds stay out."""
     near = walk(e, hits.select("conv_id", F.col("doc_id").alias("start")), hops, both_ways=True)
-    power = F.col("hops") * (F.col("hops") + 1) / 2 if compound else F.col("hops").cast("double")
-    found = hits.select("conv_id", "q_id", F.col("doc_id").alias("start"), "score").join(near, ["conv_id", "start"])
-    scored = found.groupBy("conv_id", "q_id", F.col("node").alias("doc_id")).agg(F.round(F.max(F.col("score") * F.pow(F.lit(decay), power)), 6).alias("score"), F.min("hops").alias("hops"))
-    return scored.join(hits.select("conv_id", "q_id", "doc_id"), ["conv_id", "q_id", "doc_id"], "left_anti")
+    found = hits.select("conv_id", "q_id", F.col("doc_id").alias("start"), "rank", "score").join(near, ["conv_id", "start"])
+    first = found.groupBy("conv_id", "q_id", F.col("node").alias("doc_id")).agg(F.min_by(F.struct("score", "hops"), "rank").alias("s"))
+    new = first.join(hits.select("conv_id", "q_id", "doc_id"), ["conv_id", "q_id", "doc_id"], "left_anti")
+    return new.select("conv_id", "q_id", "doc_id", F.col("s.hops").alias("hops"), F.round(F.col("s.score") * F.pow(F.lit(decay), F.col("s.hops")), 6).alias("score"))
 
 
 def degrees(e: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom import schema as S
 from memloom.functions import scoring as C
 
 
@@ -56,6 +55,3 @@ def evaluation(rows: DataFrame, truth: str, guess: str, bar: float = 0.1) -> Dat
     hit, said, real = (g > bar) & (F.col(truth) > bar), g > bar, F.col(truth) > bar
     n = lambda c: F.sum(c.cast("long"))
     return rows.agg(F.avg(F.pow(g - F.col(truth), 2)).alias("mse"), F.try_divide(n(hit), n(said)).alias("precision"), F.try_divide(n(hit), n(real)).alias("recall"))
-
-
-TYPES = S.TYPES

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from memloom.functions import text as X
+from memloom.functions.stemming import stems
 
 
-def token_f1(answer: Column, truth: Column) -> dict[str, Column]:
-    """Precision, recall, F1: the shared token set over the lengths of the token lists (repeats lower the score)."""
+def token_f1(answer: Column, truth: Column, stemmed: bool = False) -> dict[str, Column]:
+    """Precision, recall, F1: the shared token set over the lengths of the token lists (repeats lower the score); of stems if asked."""
     a, t = X.words(X.normalised(answer)), X.words(X.normalised(truth))
+    if stemmed:
+        a, t = stems(a), stems(t)
     shared = F.size(F.array_intersect(a, t))
     p = F.when(F.size(a) > 0, shared / F.size(a)).otherwise(0.0)
     r = F.when(F.size(t) > 0, shared / F.size(t)).otherwise(0.0)

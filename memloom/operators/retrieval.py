@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import text as X
-from memloom.functions import vectors as V
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
+from memloom.operators import blocks
 
 
 def ranked(scores: DataFrame, most: int | Column, by: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -22,50 +20,14 @@ def ranked(scores: DataFrame, most: int | Column, by: str = "score", tie: str =
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def semantic(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """Cosine of every question with every candidate of its conversation; ``vec`` on both sides, unit length."""
-    pairs = questions.select("conv_id", "q_id", F.col("vec").alias("qv")).join(docs.select("conv_id", "doc_id", F.col("vec").alias("dv")), "conv_id")
-    return pairs.select("conv_id", "q_id", "doc_id", F.round(V.dot(F.col("qv"), F.col("dv")), 6).alias("score"))
-
+def retrieve(docs: DataFrame, questions: DataFrame, most: int | Column = 5, method: str = "hybrid", widest: int = 20) -> DataFrame:
+    """Top candidates per question by 'semantic', 'bm25' or 'hybrid'; another method is an error.
 
-def bm25(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """Okapi BM25 with the conversation as corpus; ``tokens`` on both sides; divided by the best score, only positive ones.
-
-    A term in more than half of the candidates gets EPSILON times the mean idf; repeated
-    question terms count repeatedly. Terms meet by a join on (conv_id, term).
+    ``most`` may be a column of the questions' own number, of at most ``widest``.
     """
-    sized = docs.select("conv_id", "doc_id", "tokens", F.size("tokens").alias("dl"))
-    corpus = sized.groupBy("conv_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sized.select("conv_id", "doc_id", "dl", F.explode("tokens").alias("term")).groupBy("conv_id", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("conv_id", "term").agg(F.count("*").alias("df")).join(corpus, "conv_id")
-    raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("conv_id").agg(F.avg("idf").alias("mean_idf"))
-    idf = raw.join(mean, "conv_id").select("conv_id", "term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    asked = questions.select("conv_id", "q_id", F.explode("tokens").alias("term")).groupBy("conv_id", "q_id", "term").agg(F.count("*").alias("times"))
-    hits = asked.join(idf, ["conv_id", "term"]).join(tf, ["conv_id", "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("conv_id", "q_id", "doc_id").agg(F.sum(part).alias("raw"))
-    best = F.max("raw").over(Window.partitionBy("conv_id", "q_id"))
-    return scores.withColumn("best", best).where("best > 0 and raw > 0").select("conv_id", "q_id", "doc_id", F.round(F.col("raw") / F.col("best"), 6).alias("score"))
-
-
-def fused(sem: DataFrame, lex: DataFrame, weight: float = 0.7) -> DataFrame:
-    """Weighted sum; a missing side counts 0; only positive sums."""
-    s, t = sem.withColumnRenamed("score", "sem"), lex.withColumnRenamed("score", "lex")
-    both = s.join(t, ["conv_id", "q_id", "doc_id"], "full_outer")
-    total = F.round(weight * F.coalesce("sem", F.lit(0.0)) + (1 - weight) * F.coalesce("lex", F.lit(0.0)), 7)
-    return both.select("conv_id", "q_id", "doc_id", total.alias("score")).where("score > 0")
-
-
-def retrieve(docs: DataFrame, questions: DataFrame, most: int | Column = 5, method: str = "hybrid") -> DataFrame:
-    """Top candidates per question by 'semantic', 'bm25' or 'hybrid'; another method is an error."""
-    if method == "semantic":
-        return ranked(semantic(docs, questions), most)
-    if method == "bm25":
-        return ranked(bm25(docs, questions), most)
-    if method == "hybrid":
-        return ranked(fused(semantic(docs, questions), bm25(docs, questions)), most)
-    raise ValueError(f"unknown method {method!r}")
+    if method not in ("semantic", "bm25", "hybrid"):
+        raise ValueError(f"unknown method {method!r}")
+    return ranked(blocks.scored(docs, questions, most if isinstance(most, int) else widest, method), most)
 
 
 def _sets(question: Column, doc: Column) -> tuple[Column, Column]:
@@ -118,3 +80,25 @@ def route(top: Column, spread: Column, n: Column, temporal: Column, several: Col
         .when(several | (spread < 0.15), "multi_round")
         .otherwise("direct")
     )
+
+
+def rounds(hits: DataFrame, docs: DataFrame, questions: DataFrame, size: int = 5, most: int = 3, enough: float = 0.7) -> DataFrame:
+    """(conv_id, q_id, rounds, confidence, n_docs): results in rounds of ``size``, each without what was seen, until the question's words are covered.
+
+    With one wording and one ranking a round that leaves out what was seen is the next ``size`` ranks, so all rounds come from
+    one retrieval: a word is covered from the first round on in which a result holds it. Questions without results give no row.
+    """
+    round_of = F.floor((F.col("rank") - 1) / size).cast("int") + 1
+    wanted = questions.select("conv_id", "q_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    held = hits.select("conv_id", "q_id", "doc_id", round_of.alias("r")).join(docs.select("conv_id", "doc_id", "tokens"), ["conv_id", "doc_id"]).select("conv_id", "q_id", "r", F.explode(F.array_distinct("tokens")).alias("term"))
+    first = wanted.join(held, ["conv_id", "q_id", "term"], "left").groupBy("conv_id", "q_id", "term").agg(F.min("r").alias("r"))
+    shares = [F.round(F.sum((F.col("r") <= k).cast("int")) / F.count("*"), 6).alias(f"c{k}") for k in range(1, most + 1)]
+    covered = first.groupBy("conv_id", "q_id").agg(*shares)
+    seen = hits.groupBy("conv_id", "q_id").agg(F.count("*").alias("n"), F.max(round_of).alias("last"))
+    both = seen.join(covered, ["conv_id", "q_id"])
+    stop = F.lit(most)
+    for k in range(most, 0, -1):
+        stop = F.when(F.col(f"c{k}") >= enough, F.lit(k)).otherwise(stop)
+    done = both.withColumn("rounds", F.least("last", stop))
+    at = F.array(*[F.col(f"c{k}") for k in range(1, most + 1)])
+    return done.select("conv_id", "q_id", "rounds", F.coalesce(F.element_at(at, F.col("rounds")), F.lit(0.0)).alias("confidence"), F.least("n", F.col("rounds").cast("long") * size).alias("n_docs"))

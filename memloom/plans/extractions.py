@@ -48,10 +48,6 @@ def x14_resolved_times(spark, folder):
     return E.resolved_times(artifacts(spark, folder))
 
 
-def x16_entities(spark, folder):
-    return entries(spark, folder).select("entry_id", F.array_join(E.entities(F.coalesce("user_text", F.lit(""))), "|").alias("entities"))
-
-
 def c1_keyword_resolution(spark, folder):
     refs = facts(spark, folder).where("test_question is not null").select("conv_id", F.col("fact_id").alias("ref_id"), C.inferred_type(F.col("test_question")).alias("hint"), X.resolver_keywords(F.col("test_question")).alias("words"))
     cands = artifacts(spark, folder).select("conv_id", "id", "obj_type", "turn_id", X.resolver_keywords(F.concat_ws(" ", "content", "quote")).alias("words"))
@@ -88,7 +84,7 @@ c AS (SELECT *, CASE WHEN wd IS NOT NULL AND wd > 0 THEN -(CASE WHEN ((isodow(d)
   WHEN l = 'yesterday' THEN -1 WHEN l = 'today' THEN 0 WHEN l = 'tomorrow' THEN 1 WHEN l = 'last week' THEN -7 WHEN l = 'next week' THEN 7 WHEN l = 'last month' THEN -30 WHEN l = 'next month' THEN 30 WHEN l = 'last year' THEN -365 END AS sh FROM b)
 SELECT id, event_time_raw, session, CASE WHEN sh IS NOT NULL AND d IS NOT NULL THEN day(d + sh::INT) || ' ' || monthname(d + sh::INT) || ' ' || year(d + sh::INT) END AS event_time FROM c"""
 _HINT = "CASE " + " ".join(f"WHEN {Q.any_of('test_question', h)} THEN '{k}'" for k, h in S.TYPE_HINTS.items()) + " END"
-QUERIES = {f.__name__: f for f in (x2_rule_artifacts, x3_legacy_artifacts, x7_deduplicated, x8_time_spans, x9_time_artifacts, x11_session_times, x14_resolved_times, x16_entities, c1_keyword_resolution)}
+QUERIES = {f.__name__: f for f in (x2_rule_artifacts, x3_legacy_artifacts, x7_deduplicated, x8_time_spans, x9_time_artifacts, x11_session_times, x14_resolved_times, c1_keyword_resolution)}
 ORACLE = {
     "x2_rule_artifacts": f"WITH {Q.ENTRIES} {_RULES}",
     "x3_legacy_artifacts": f"WITH {Q.ENTRIES} {_LEGACY}",

@@ -31,7 +31,7 @@ def questions(spark, folder) -> DataFrame:
 def e1_hash_embeddings(spark, folder):
     v = V.unit(V.hash_vector(F.col("content")))
     raw = V.hash_vector(F.col("content"), centred=False)
-    return artifacts(spark, folder).select("id", *[F.round(v[i], 6).alias(f"v{i}") for i in range(4)], F.round(V.norm(raw), 6).alias("raw_norm"))
+    return artifacts(spark, folder).select("id", *[F.round(v[i], 6).alias(f"v{i}") for i in range(16)], F.round(V.norm(raw), 6).alias("raw_norm"))
 
 
 def e4_chunk_cosines(spark, folder):
@@ -45,7 +45,7 @@ def e8_topic_shift(spark, folder):
     counted = c.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("chunk_id")))
     seen = counted.select("conv_id", "chunk_id", "n", F.posexplode("embedding").alias("d", "x"))
     w = Window.partitionBy("conv_id", "d").orderBy("n")
-    means = seen.withColumn("recent", F.avg("x").over(w.rowsBetween(-4, 0))).withColumn("earlier", F.avg("x").over(w.rowsBetween(-9, -5))).where("n >= 10")
+    means = seen.withColumn("recent", F.avg("x").over(w.rowsBetween(-4, 0))).withColumn("earlier", F.avg("x").over(w.rowsBetween(-9, -5))).where("n >= 15")
     sums = means.groupBy("conv_id", "chunk_id").agg(F.sum(F.col("recent") * F.col("earlier")).alias("ab"), F.sum(F.col("recent") * F.col("recent")).alias("aa"), F.sum(F.col("earlier") * F.col("earlier")).alias("bb"))
     return sums.select("conv_id", "chunk_id", F.round(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")), 4).alias("cosine"))
 
@@ -92,8 +92,8 @@ def q11_rerank_fallback(spark, folder):
 
 def q16_expansion_merge(spark, folder):
     d, q = docs(spark, folder), questions(spark, folder)
-    wide = R.ranked(R.bm25(d, q), 8)
-    narrow = R.ranked(R.bm25(d, q.withColumn("tokens", X.keyword_set(F.col("question")))), 8)
+    wide = R.retrieve(d, q, 8, "bm25")
+    narrow = R.retrieve(d, q.withColumn("tokens", X.keyword_set(F.col("question"))), 8, "bm25")
     return R.merged_expansions(wide.unionByName(narrow), 10).select("q_id", "rank", "doc_id", "hits", "score")
 
 
@@ -200,9 +200,9 @@ def _rerank(score: str) -> str:
 
 
 ORACLE = {
-    "e1_hash_embeddings": f"WITH {Q.ART}, v AS (SELECT id, {_hash("coalesce(content, '')")} AS v, {_hash("coalesce(content, '')", False)} AS r FROM art) SELECT id, " + ", ".join(f"round(v[{i + 1}] / sqrt(list_dot_product(v, v)), 6) AS v{i}" for i in range(4)) + ", round(sqrt(list_dot_product(r, r)), 6) AS raw_norm FROM v",
+    "e1_hash_embeddings": f"WITH {Q.ART}, v AS (SELECT id, {_hash("coalesce(content, '')")} AS v, {_hash("coalesce(content, '')", False)} AS r FROM art) SELECT id, " + ", ".join(f"round(v[{i + 1}] / sqrt(list_dot_product(v, v)), 6) AS v{i}" for i in range(16)) + ", round(sqrt(list_dot_product(r, r)), 6) AS raw_norm FROM v",
     "e4_chunk_cosines": f"WITH {_CHUNKS} SELECT chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], b::DOUBLE[]), 4) AS cosine FROM (SELECT *, lag(embedding) OVER (PARTITION BY conv_id ORDER BY chunk_id) AS b FROM c) WHERE b IS NOT NULL",
-    "e8_topic_shift": f"WITH {_CHUNKS}, s AS (SELECT conv_id, chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY chunk_id) AS n, unnest(range(128)) AS d, unnest(embedding)::DOUBLE AS x FROM c), m AS (SELECT *, avg(x) OVER (PARTITION BY conv_id, d ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a, avg(x) OVER (PARTITION BY conv_id, d ORDER BY n ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) AS b FROM s) SELECT conv_id, chunk_id, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 4) AS cosine FROM m WHERE n >= 10 GROUP BY ALL",
+    "e8_topic_shift": f"WITH {_CHUNKS}, s AS (SELECT conv_id, chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY chunk_id) AS n, unnest(range(128)) AS d, unnest(embedding)::DOUBLE AS x FROM c), m AS (SELECT *, avg(x) OVER (PARTITION BY conv_id, d ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a, avg(x) OVER (PARTITION BY conv_id, d ORDER BY n ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) AS b FROM s) SELECT conv_id, chunk_id, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 4) AS cosine FROM m WHERE n >= 15 GROUP BY ALL",
     "q1_hybrid_topk": f"{_base()},{_LEX},{_SEM},{_HYB}" + _best("hyb", 5),
     "q1_retrieve_by_type": _base("WHERE obj_type = 'decision'") + f",{_LEX},{_SEM},{_HYB}" + _best("hyb", 5),
     "q2_semantic_topk": f"{_base()},{_SEM}" + _best("sem", 5),

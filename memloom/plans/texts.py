@@ -105,7 +105,7 @@ _LEN = "CASE WHEN coalesce(length(content), 0) < 10 THEN -0.3 WHEN length(conten
 _TYPE = f"CASE WHEN obj_type = 'key_fact' THEN CASE WHEN coalesce(regexp_matches(content, '[0-9]'), false) OR coalesce(regexp_matches(content, '[A-Z][a-z]+ [A-Z][a-z]+'), false) THEN 0.1 ELSE -0.1 END WHEN obj_type = 'todo' AND {Q.any_of('content', S.TODO_VERBS)} THEN 0.1 WHEN obj_type = 'decision' AND {Q.any_of('content', ['will', 'going to', 'decided'])} THEN 0.1 ELSE 0.0 END"
 _SCORE = f"greatest(0.0, least(1.0, 0.5::DOUBLE + {_TRIG} + {_LEN} + CASE WHEN trim(coalesce(context, '')) <> '' THEN 0.1 ELSE 0.0 END + {_TYPE}))"
 _NAME = "list_bool_or(list_transform(w, lambda x, i: i > 1 AND regexp_matches(x, '^\\p{{Lu}}'){more}))"
-_COMPLEX = " OR ".join(f"coalesce(regexp_matches(lower(test_question), '{p}'), false)" for p in S.COMPLEX_PATTERNS)
+_COMPLEX = " OR ".join(f"coalesce(regexp_matches(lower(test_question), '{p}'), false)" for p in [X.phrase_pattern(S.COMPLEX_PHRASES), *[rf"\b{a}.*{b}\b" for a, b in S.COMPLEX_PAIRS]])
 
 
 def _names(more: str) -> str:

@@ -35,6 +35,21 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_state(artifacts: DataFrame, edges: DataFrame | None, path: str) -> None:
+    """Nodes and, if given, edges of all conversations. The turn counter of a conversation is its last turn."""
+    save(artifacts, f"{path}/nodes")
+    if edges is not None:
+        edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as they were saved; a state without edges has none: they are not rebuilt from the nodes' arrays."""
+    nodes = load(spark, f"{path}/nodes")
+    if has_state(spark, f"{path}/edges"):
+        return nodes, spark.read.parquet(f"{path}/edges")
+    return nodes, spark.createDataFrame([], "conv_id string, src string, dst string, relation string")
+
+
 def has_state(spark: SparkSession, path: str) -> bool:
     """Whether the path exists on its file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

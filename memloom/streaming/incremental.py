@@ -72,3 +72,9 @@ def upsert(path: str, key: list[str], order: str) -> Callable[[DataFrame, int],
         latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def latest(spark: SparkSession, path: str, key: list[str], order: str) -> DataFrame:
+    """What ``upsert`` has kept: over all batches the latest row per key."""
+    rows = spark.read.parquet(path).drop("batch")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")

@@ -12,6 +12,7 @@ from memloom.functions import entities as N
 from memloom.functions import vectors as V
 from memloom.operators import blocks
 from memloom.operators import graph as G
+from memloom.session import materialize
 
 
 def mentions(entries: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def expand(seeds: DataFrame, l: DataFrame, hops: int = 2, most: int = 5, few: in
     """(conv_id, q_id, name): seeds and what lies within ``hops`` links; if that is more than 3 * ``most``, the seeds and each one's first ``few`` neighbours by name."""
     e = l.select("conv_id", F.col("a").alias("src"), F.col("b").alias("dst"))
     near = G.walk(e, seeds.select("conv_id", F.col("name").alias("start")).distinct(), hops, both_ways=True).select("conv_id", F.col("start").alias("name"), "node", "hops")
-    reached = seeds.join(near, ["conv_id", "name"])
+    reached = materialize(seeds.join(near, ["conv_id", "name"]).select("conv_id", "q_id", "name", "node", "hops"), "reached")
     every = seeds.unionByName(reached.select("conv_id", "q_id", F.col("node").alias("name"))).distinct()
     wide = every.groupBy("conv_id", "q_id").count().where(F.col("count") > 3 * most).select("conv_id", "q_id")
     w = Window.partitionBy("conv_id", "q_id", "name").orderBy("node")

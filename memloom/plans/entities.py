@@ -16,6 +16,7 @@ from memloom.plans.extractions import ORACLE as _EXTRACTED
 from memloom.plans.extractions import _HINT, _WL
 from memloom.plans.retrieval import _hash
 from memloom.plans.texts import artifacts, entries, facts
+from memloom.session import materialize
 
 
 def x5_model_output(spark, folder):
@@ -62,7 +63,7 @@ def _asked(spark, folder):
 
 def _matched(spark, folder):
     m = EG.mentions(entries(spark, folder))
-    return EG.match(EG.nodes(m), _asked(spark, folder)), m
+    return materialize(EG.match(EG.nodes(m), _asked(spark, folder)), "matched"), m
 
 
 def q26_matched_entities(spark, folder):
@@ -126,9 +127,10 @@ def _mentions(text: str) -> str:
     return f"list_distinct({of(_list(low, N.TOOL), 'TECHNOLOGY')} || {of(numbers, 'NUMBER')} || {of(_list(t, N.MONEY), 'NUMBER')} || {of(terms, 'CONCEPT')})"
 
 
+# a word boundary stands between any two letters' ends in Spark, but only between Latin ones in the other engine, so names are split off there
 _KNOWN = "[" + Q.quoted(sorted({*N.TECHNOLOGY, *N.MORE_TECHNOLOGY} - {"vue"})) + "]"
 _UT = "coalesce(user_text, '')"
-_KW = f"list_sort(list_distinct({_list(f'lower({_UT})', N.AMOUNT)} || {_list(f'lower({_UT})', N.MONTH_DAY)} || list_filter({_KNOWN}, lambda t: contains(lower({_UT}), t)) || {_list(_UT, N.MONEY)} || list_transform(list_filter({_list(_UT, N.QUOTED)}, lambda q: length(q) < 50), lambda q: lower(q)) || {_list(f'lower({_UT})', N.MAIL)} || {_list(f'lower({_UT})', N.LINK)} || {_list(f'lower({_UT})', N.PHONE)} || list_filter(list_transform({_list(_UT, N.NAME)}, lambda w: lower(w)), lambda w: w NOT IN ({Q.quoted(N.NO_NAMES)}))))"
+_KW = f"list_sort(list_distinct({_list(f'lower({_UT})', N.AMOUNT)} || {_list(f'lower({_UT})', N.MONTH_DAY)} || list_filter({_KNOWN}, lambda t: contains(lower({_UT}), t)) || {_list(_UT, N.MONEY)} || list_transform(list_filter({_list(_UT, N.QUOTED)}, lambda q: length(q) < 50), lambda q: lower(q)) || {_list(f'lower({_UT})', N.MAIL)} || {_list(f'lower({_UT})', N.LINK)} || {_list(f'lower({_UT})', N.PHONE)} || list_filter(list_transform(list_filter(regexp_split_to_array({_UT}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z0-9]+')), lambda w: lower(w)), lambda w: w NOT IN ({Q.quoted(N.NO_NAMES)}))))"
 _MEN = f"""WITH RECURSIVE {Q.ENTRIES}, mn AS (SELECT conv_id, entry_id, turn_id, e.name AS name, e.type AS type FROM (SELECT conv_id, entry_id, turn_id, unnest({_mentions("concat_ws(' ', user_text, assistant_text)")}) AS e FROM ent) WHERE e.name <> ''),
 nd AS (SELECT conv_id, name, arg_min(type, (turn_id, entry_id, type)) AS type, list_sort(list_distinct(list(turn_id))) AS turns FROM mn GROUP BY 1, 2),
 one AS (SELECT DISTINCT conv_id, entry_id, name FROM mn),
@@ -165,7 +167,7 @@ ORACLE = {
     "g21_entity_links": _MEN + " SELECT * FROM lk",
     "q26_matched_entities": _MATCH + " SELECT q_id, name FROM sd",
     "q27_expanded_entities": _EXPAND + " SELECT q_id, name FROM pk",
-    "q28_entity_context": _EXPAND + ", ty AS (SELECT pk.conv_id, q_id, type, '### ' || type || chr(10) || string_agg('- **' || pk.name || '** (from turns: ' || array_to_string(turns, ', ') || ')', chr(10) ORDER BY '- **' || pk.name || '** (from turns: ' || array_to_string(turns, ', ') || ')') AS part FROM pk JOIN nd ON nd.conv_id = pk.conv_id AND nd.name = pk.name GROUP BY ALL), pt AS (SELECT conv_id, q_id, string_agg(part, chr(10) || chr(10) ORDER BY part) AS nodes FROM ty GROUP BY ALL), tl AS (SELECT x.conv_id, x.q_id, string_agg('- ' || a || ' --[related_to]--> ' || b, chr(10) ORDER BY '- ' || a || ' --[related_to]--> ' || b) AS links FROM pk x JOIN lk ON lk.conv_id = x.conv_id AND lk.a = x.name JOIN pk y ON y.conv_id = x.conv_id AND y.q_id = x.q_id AND y.name = lk.b GROUP BY ALL) SELECT pt.q_id, nodes || CASE WHEN links IS NOT NULL THEN chr(10) || chr(10) || '### Relationships' || chr(10) || links ELSE '' END AS block FROM pt LEFT JOIN tl ON tl.conv_id = pt.conv_id AND tl.q_id = pt.q_id",
+    "q28_entity_context": _EXPAND + ", ty AS (SELECT pk.conv_id, q_id, type, '### ' || type || chr(10) || string_agg('- **' || pk.name || '** (from turns: ' || array_to_string(turns, ', ') || ')', chr(10) ORDER BY '- **' || pk.name || '** (from turns: ' || array_to_string(turns, ', ') || ')') AS part FROM pk JOIN nd ON nd.conv_id = pk.conv_id AND nd.name = pk.name GROUP BY pk.conv_id, q_id, type), pt AS (SELECT conv_id, q_id, string_agg(part, chr(10) || chr(10) ORDER BY part) AS nodes FROM ty GROUP BY conv_id, q_id), tl AS (SELECT x.conv_id, x.q_id, string_agg('- ' || a || ' --[related_to]--> ' || b, chr(10) ORDER BY '- ' || a || ' --[related_to]--> ' || b) AS links FROM pk x JOIN lk ON lk.conv_id = x.conv_id AND lk.a = x.name JOIN pk y ON y.conv_id = x.conv_id AND y.q_id = x.q_id AND y.name = lk.b GROUP BY x.conv_id, x.q_id) SELECT pt.q_id, nodes || CASE WHEN links IS NOT NULL THEN chr(10) || chr(10) || '### Relationships' || chr(10) || links ELSE '' END AS block FROM pt LEFT JOIN tl ON tl.conv_id = pt.conv_id AND tl.q_id = pt.q_id",
     "c3_vector_resolution": _VEC + " SELECT * FROM res_v",
     "c4_hybrid_resolution": _BOTH + " SELECT * FROM res_b",
     "c5_resolved_batch": _BOTH + " SELECT 'keyword' AS strategy, count(*) AS n, count(resolved_id) AS resolved FROM res_k UNION ALL SELECT 'embedding', count(*), count(resolved_id) FROM res_v UNION ALL SELECT 'hybrid', count(*), count(resolved_id) FROM res_b",

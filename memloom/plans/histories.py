@@ -71,7 +71,7 @@ ORACLE = {
     "w5_should_compress": f"""WITH {Q.ENTRIES}, {Q.ART}, n AS (SELECT conv_id, entry_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn_id, entry_id) - 1 AS turn, {_hash("concat_ws(' ', coalesce(user_text, ''), coalesce(assistant_text, ''))")} AS v FROM ent),
 u AS (SELECT conv_id, entry_id, turn, unnest(range(16)) AS d, unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))) AS x FROM n),
 m AS (SELECT *, avg(x) OVER (PARTITION BY conv_id, d ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS r, avg(x) OVER (PARTITION BY conv_id, d ORDER BY turn ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) AS p FROM u),
-a AS (SELECT conv_id, entry_id, turn, CASE WHEN turn >= 14 THEN round(coalesce(sum(r * p) / nullif(sqrt(sum(r * r)) * sqrt(sum(p * p)), 0), 0.0), 6) END AS alike FROM m GROUP BY ALL),
+a AS (SELECT conv_id, entry_id, turn, CASE WHEN turn >= 14 THEN round(coalesce(sum(r * p) / nullif(sqrt(sum(r * r)) * sqrt(sum(p * p)), 0), 0.0), 6) END AS alike FROM m GROUP BY conv_id, entry_id, turn),
 k AS (SELECT a.*, (SELECT count(*) FROM art WHERE art.conv_id = a.conv_id AND art.turn_id BETWEEN a.turn - 10 AND a.turn) AS made FROM a),
 z AS (SELECT entry_id, turn::INT AS turn, CASE WHEN turn < 20 THEN 'too_soon' WHEN turn >= 60 THEN 'turn_limit' WHEN alike < 0.55 THEN 'topic_shift' WHEN made / 10.0 < 0.5 THEN 'low_density' ELSE 'none' END AS reason FROM k)
 SELECT *, reason NOT IN ('too_soon', 'none') AS compress FROM z""",

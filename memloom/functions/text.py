@@ -132,3 +132,10 @@ def fenced_json(text: Column) -> Column:
 
 def entity_name(text: Column) -> Column:
     return F.lower(F.trim(text))
+
+
+def listed(text: Column) -> Column:
+    """The texts of the JSON array that a text holds, from its first "[" to its last "]"; without one its lines of more than ten characters; [] for null."""
+    inner = F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), "array<string>")
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda l: F.trim(l)), lambda l: F.length(l) > 10)
+    return _list(F.filter(F.coalesce(inner, lines), lambda t: t.isNotNull() & (F.trim(t) != "")))

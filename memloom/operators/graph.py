@@ -117,7 +117,8 @@ def expansion(hits: DataFrame, e: DataFrame, hops: int = 3, decay: float = 0.8)
     A node is scored by the first node that reaches it, parents in the order in which they were reached, their neighbours in the
     order of ``neighbours``, then by id: the parent's score times decay^hop, so h hops multiply by decay^(h(h+1)/2). Seeds stay out.
     """
-    near = neighbours(e).select("conv_id", "id", "neighbour", "ord")
+    near = materialize(neighbours(e).select("conv_id", "id", "neighbour", "ord"), "neighbours")
+    hits = materialize(hits.select("conv_id", "q_id", "doc_id", "rank", "score"), "hits")  # every hop reads both
     seen = hits.select("conv_id", "q_id", "doc_id", F.lit(0).alias("hops"), F.col("score").cast("double").alias("score"), F.col("rank").alias("pos"))
     layer = seen
     by_visit = Window.partitionBy("conv_id", "q_id").orderBy("first")
@@ -131,6 +132,7 @@ def expansion(hits: DataFrame, e: DataFrame, hops: int = 3, decay: float = 0.8)
 
 def seed_expansion(hits: DataFrame, e: DataFrame, hops: int = 2, decay: float = 0.8) -> DataFrame:
     """Graph neighbours of ranked results by true distance: decay^hops of the first seed, by rank, that reaches them. Seeds stay out."""
+    hits = materialize(hits.select("conv_id", "q_id", "doc_id", "rank", "score"), "hits")
     near = walk(e, hits.select("conv_id", F.col("doc_id").alias("start")), hops, both_ways=True)
     found = hits.select("conv_id", "q_id", F.col("doc_id").alias("start"), "rank", "score").join(near, ["conv_id", "start"])
     first = found.groupBy("conv_id", "q_id", F.col("node").alias("doc_id")).agg(F.min_by(F.struct("score", "hops"), "rank").alias("s"))

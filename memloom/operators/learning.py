@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import scoring as C
@@ -55,3 +55,24 @@ def evaluation(rows: DataFrame, truth: str, guess: str, bar: float = 0.1) -> Dat
     hit, said, real = (g > bar) & (F.col(truth) > bar), g > bar, F.col(truth) > bar
     n = lambda c: F.sum(c.cast("long"))
     return rows.agg(F.avg(F.pow(g - F.col(truth), 2)).alias("mse"), F.try_divide(n(hit), n(said)).alias("precision"), F.try_divide(n(hit), n(real)).alias("recall"))
+
+
+def tfidf(rows: DataFrame, text: str, vocabulary: int = 500, dims: int = 50) -> DataFrame:
+    """Adds ``vec``: the words of a text weighted by TF-IDF and reduced to their principal directions; the fallback where no embedding model is at hand."""
+    width = min(dims, vocabulary)
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
+    stages = [words, StopWordsRemover(inputCol="_words", outputCol="_kept"), CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=vocabulary), IDF(inputCol="_tf", outputCol="_idf")]
+    weighted = Pipeline(stages=stages).fit(rows).transform(rows)
+    size = weighted.select("_idf").first()._idf.size  # one row tells the size of the vocabulary that was found
+    reduced = PCA(k=min(width, size), inputCol="_idf", outputCol="_pc").fit(weighted).transform(weighted)
+    return reduced.withColumn("vec", vector_to_array("_pc")).drop("_words", "_kept", "_tf", "_idf", "_pc")
+
+
+def cluster_words(rows: DataFrame, words: str, most: int = 5) -> DataFrame:
+    """(cluster, n, words, importance) of rows with a ``cluster``: the size, the most frequent words, and equal shares of importance."""
+    n = rows.groupBy("cluster").agg(F.count("*").alias("n"))
+    counts = rows.select("cluster", F.explode(words).alias("word")).groupBy("cluster", "word").count()
+    w = Window.partitionBy("cluster").orderBy(F.desc("count"), "word")
+    top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), ",").alias("words"))
+    total = n.agg(F.count("*").alias("k"))
+    return n.join(top, "cluster", "left").crossJoin(F.broadcast(total)).select("cluster", "n", "words", (1 / F.col("k")).alias("importance"))

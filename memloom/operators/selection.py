@@ -61,8 +61,8 @@ def chain_selection(s: DataFrame, chains: DataFrame, most: int = 10, bonus: floa
 
 
 def injection_order(rows: DataFrame, strategy: str) -> DataFrame:
-    """Adds ``rn``: by confidence or by recency within the conversation."""
-    keys = {"confidence": [F.desc_nulls_last("confidence")], "recency": [F.desc("turn_id")]}[strategy]
+    """Adds ``rn``: by confidence, by recency, or by relevance as the column ``rank`` gives it, within the conversation."""
+    keys = {"confidence": [F.desc_nulls_last("confidence")], "recency": [F.desc("turn_id")], "relevance": [F.col("rank")]}[strategy]
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(*keys, "id")))
 
 
@@ -94,6 +94,13 @@ def rendered(rows: DataFrame, style: str = "compact") -> DataFrame:
     return rows.groupBy("conv_id").agg(F.concat(head, F.array_join(lines, "\n")).alias("block"))
 
 
+def rendered_json(rows: DataFrame) -> DataFrame:
+    """(conv_id, block): the rows of a conversation in order as one JSON array; a quote is cut at 100 characters, a date is there only if known."""
+    item = F.to_json(F.struct(F.col("obj_type").alias("type"), F.coalesce("content", F.lit("")).alias("content"), F.substring(F.coalesce("quote", F.lit("")), 1, 100).alias("quote"), F.col("event_time_raw").alias("date")))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("rn", item.alias("j")))), lambda x: x["j"])
+    return rows.groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("block"))
+
+
 def statistics(artifacts: DataFrame) -> DataFrame:
     """(conv_id, total, turns, avg_confidence, n per type): 0 where nothing is known."""
     from memloom.schema import TYPES

@@ -30,13 +30,18 @@ def local_session(cores: int | str = "*", app: str = "memloom", partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; only where it is unset and the session is local, as in tests, a temporary one.
+
+    On a cluster a folder of one machine would hold a part of each table on every executor, so there an unset name is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="memloom-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir("file://" + own)
@@ -51,9 +56,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Removes the tables that ``materialize`` has written in this process, and says how many. Call it once results that read them are stored."""
+    n = len(_written)
+    while _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist with spill to disk; a lost block is recomputed from its lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

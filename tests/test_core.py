@@ -61,7 +61,7 @@ def test_bm25_floor_and_degenerate(spark):
     def scores(docs, question):
         d = spark.createDataFrame([("c", str(k), t) for k, t in enumerate(docs)], "conv_id string, doc_id string, t string").select("conv_id", "doc_id", X.bm25_tokens(F.col("t")).alias("tokens"))
         q = spark.createDataFrame([("c", "q", question)], "conv_id string, q_id string, t string").select("conv_id", "q_id", X.bm25_tokens(F.col("t")).alias("tokens"))
-        return {r.doc_id: r.score for r in R.bm25(d, q).collect()}
+        return {r.doc_id: r.score for r in R.retrieve(d, q, 5, "bm25").collect()}
 
     assert scores(["a b"], "a") == {}
     assert scores(["paris trip", "france pendant found", "canada lake"], "france pendant") == {"1": 1.0}
@@ -143,10 +143,17 @@ def test_levels_of_a_long_chain(spark):
 
 
 def test_expansion_decay(spark):
-    hits = spark.createDataFrame([("c", "q", "0", 1.0)], "conv_id string, q_id string, doc_id string, score double")
+    hits = spark.createDataFrame([("c", "q", "0", 1, 1.0)], "conv_id string, q_id string, doc_id string, rank int, score double")
     chain = _edges(spark, [("0", "1"), ("1", "2"), ("2", "3")])
     assert {r.doc_id: r.score for r in G.expansion(hits, chain, 3).collect()} == {"1": 0.8, "2": 0.512, "3": 0.262144}
-    assert {r.doc_id: r.score for r in G.expansion(hits, chain, 3, compound=False).collect()} == {"1": 0.8, "2": 0.64, "3": 0.512}
+    assert {r.doc_id: r.score for r in G.seed_expansion(hits, chain, 3).collect()} == {"1": 0.8, "2": 0.64, "3": 0.512}
+
+
+def test_expansion_scores_by_the_first_visit(spark):
+    """The better seed visits first; a node both reach takes its score, even if the other would give more."""
+    hits = spark.createDataFrame([("c", "q", "a", 1, 0.5), ("c", "q", "b", 2, 1.0)], "conv_id string, q_id string, doc_id string, rank int, score double")
+    e = _edges(spark, [("a", "x"), ("b", "x"), ("b", "y")])
+    assert {r.doc_id: r.score for r in G.expansion(hits, e, 2).collect()} == {"x": 0.4, "y": 0.8}
 
 
 def test_budget_ends_at_first_overflow(spark):

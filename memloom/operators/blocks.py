@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.session import materialize
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK_ROWS = 2_048
 SLACK = 1e-5  # more than rounding to six places can move a score
@@ -155,6 +157,8 @@ def scored(docs: DataFrame, questions: DataFrame, k: int, method: str, weight: f
     if method == "bm25":  # no vector is computed or shuffled
         nothing = F.lit(None).cast("array<double>")
         docs, questions = docs.withColumn("vec", nothing), questions.withColumn("vec", nothing)
+    if method != "semantic":  # the statistics and the blocks read the same tokens: they are made once
+        docs = materialize(docs.select("conv_id", "doc_id", "vec", "tokens"), "docs")
     corpus = corpus_of(docs)
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     of_docs = docs.join(corpus, "conv_id").select("conv_id", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.lit(False).alias("is_q"), F.col("doc_id").cast("string").alias("id"), "vec", F.col("tokens").alias("terms"), F.lit(None).cast("array<double>").alias("weights"), "avgdl")

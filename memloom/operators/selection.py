@@ -11,10 +11,12 @@ from memloom.functions import scoring as C
 
 def scored(artifacts: DataFrame, source: str = "heuristic") -> DataFrame:
     """Adds omega (importance), rho (retention) and delta = omega * (1 - rho), rounded to nine places; turns are counted per conversation."""
-    total = F.max("turn_id").over(Window.partitionBy("conv_id"))
-    rho = C.retention(F.col("content"), F.col("turn_id"), total)
+    # an aggregate and a join, not a window: a conversation with a tenth of all rows is not sorted in one task
+    totals = artifacts.groupBy(F.col("conv_id").alias("_conv")).agg(F.max("turn_id").alias("_total"))
+    rho = C.retention(F.col("content"), F.col("turn_id"), F.col("_total"))
     omega = C.importance(F.col("obj_type"), F.col("confidence"), source)
-    return artifacts.withColumn("omega", F.round(omega, 9)).withColumn("rho", F.round(F.coalesce(rho, F.lit(0.0)), 9)).withColumn("delta", F.round(F.col("omega") * (1 - F.col("rho")), 9))
+    known = artifacts.join(totals, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return known.withColumn("omega", F.round(omega, 9)).withColumn("rho", F.round(F.coalesce(rho, F.lit(0.0)), 9)).withColumn("delta", F.round(F.col("omega") * (1 - F.col("rho")), 9)).drop("_conv", "_total")
 
 
 def prioritised(s: DataFrame, most: int = 10) -> DataFrame:

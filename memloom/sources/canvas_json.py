@@ -27,8 +27,13 @@ def from_rows(rows: DataFrame) -> DataFrame:
 
 
 def save(artifacts: DataFrame, path: str) -> None:
-    """One folder per conversation; a conversation's state is replaced as a whole."""
-    artifacts.write.mode("overwrite").partitionBy("conv_id").parquet(path)
+    """One table for all conversations, which replaces what was there. Rows lie in the order of (conv_id, id).
+
+    A conversation's rows stand together, in one file or a few neighbouring ones, so a reader of one conversation skips the rest by
+    the files' statistics. The number of files follows the size of the data, not the number of conversations; conv_id is a column,
+    since a folder's name would come back as a number or a date where it looks like one, and an empty one as null.
+    """
+    artifacts.repartitionByRange("conv_id", "id").sortWithinPartitions("conv_id", "id").write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

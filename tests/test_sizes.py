@@ -17,3 +17,10 @@ def test_saved_canvas_has_few_files_and_keeps_its_keys(spark, tmp_path):
     got = J.load(spark, path)
     assert dict(got.dtypes)["conv_id"] == "string"
     assert sorted(map(str, [(r.conv_id, r.id, r.content) for r in got.collect()])) == sorted(map(str, rows))
+
+
+def test_state_is_there_after_a_save_of_many_conversations(spark, tmp_path):
+    path = f"{tmp_path}/state"
+    assert not J.has_state(spark, path)
+    J.save(spark.range(500).selectExpr("cast(id as string) as conv_id", "'i' as id"), path)
+    assert J.has_state(spark, path) and len(_files(path)) <= 8 and J.load(spark, path).count() == 500

@@ -96,8 +96,9 @@ def v6_chain_mode(spark, folder):
 def s2_loaded_state(spark, folder):
     """A saved canvas read back, with its edges and, as an older file, without: then its nodes have none."""
     a, base = artifacts(spark, folder), f"{shared_dir(spark)}/memloom/canvas-{uuid.uuid4().hex}"
-    J.save_state(a, G.edges(a), f"{base}/new")
     J.save_state(a, None, f"{base}/old")
+    nodes, _ = J.load_state(spark, f"{base}/old")
+    J.save_state(nodes, G.edges(nodes), f"{base}/new")
     out = None
     for name in ("new", "old"):
         nodes, edges = J.load_state(spark, f"{base}/{name}")

@@ -24,3 +24,12 @@ def test_state_is_there_after_a_save_of_many_conversations(spark, tmp_path):
     assert not J.has_state(spark, path)
     J.save(spark.range(500).selectExpr("cast(id as string) as conv_id", "'i' as id"), path)
     assert J.has_state(spark, path) and len(_files(path)) <= 8 and J.load(spark, path).count() == 500
+
+
+def test_loaded_state_joins_its_edges_by_keys_as_they_were(spark, tmp_path):
+    nodes = spark.createDataFrame([("007", "a", 1), ("007", "b", 2), ("", "a", 3)], "conv_id string, id string, turn_id int")
+    edges = spark.createDataFrame([("007", "a", "b", "references")], "conv_id string, src string, dst string, relation string")
+    J.save_state(nodes, edges, f"{tmp_path}/s")
+    n, e = J.load_state(spark, f"{tmp_path}/s")
+    assert sorted((r.conv_id, r.id) for r in n.join(e, "conv_id", "left_semi").collect()) == [("007", "a"), ("007", "b")]
+    assert n.where("conv_id = ''").count() == 1

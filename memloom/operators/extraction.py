@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom import schema as S
 from memloom.functions import temporal as T
 from memloom.functions import text as X
+from memloom.operators import resolving
+from memloom.session import materialize
 
 
 def rule_artifacts(turns: DataFrame, triggers: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
@@ -55,20 +57,12 @@ def resolved_times(artifacts: DataFrame) -> DataFrame:
 
 
 def resolve_by_keywords(references: DataFrame, candidates: DataFrame, floor: float = 0.3) -> DataFrame:
-    """(ref_id, resolved_id, confidence): the best candidate of the conversation by shared words, type and turn; null below ``floor``.
+    """(ref_id, resolved_id, confidence): the best candidate of the conversation by shared words, type and turn; null below ``floor``."""
+    return _by_keywords(resolving.best(references, candidates, True, False, floor))
 
-    Pairs come from shared words by an equal join, and from the inferred type where no word is shared.
-    """
-    refs = references.select("conv_id", "ref_id", "hint", F.array_distinct("words").alias("rw"))
-    cands = candidates.select("conv_id", F.col("id").alias("cand"), "obj_type", "turn_id", F.array_distinct("words").alias("cw"))
-    word_hits = refs.select("conv_id", "ref_id", F.size("rw").alias("n"), F.explode("rw").alias("w")).join(cands.select("conv_id", "cand", F.explode("cw").alias("w")), ["conv_id", "w"])
-    shared = word_hits.groupBy("conv_id", "ref_id", "cand").agg((F.count("*") / F.first("n")).alias("share"))
-    typed = refs.where("hint is not null").select("conv_id", "ref_id", F.col("hint").alias("obj_type")).join(cands.select("conv_id", "cand", "obj_type"), ["conv_id", "obj_type"]).select("conv_id", "ref_id", "cand", F.lit(0.3).alias("typed"))
-    both = shared.join(typed, ["conv_id", "ref_id", "cand"], "full_outer").join(cands.select("conv_id", "cand", "turn_id"), ["conv_id", "cand"])
-    score = F.least(F.lit(1.0), F.coalesce("typed", F.lit(0.0)) + 0.5 * F.coalesce("share", F.lit(0.0)) + 0.1 / (1 + 0.1 * F.col("turn_id")))
-    w = Window.partitionBy("conv_id", "ref_id").orderBy(F.desc("confidence"), "turn_id", "cand")
-    best = both.withColumn("confidence", F.round(score, 6)).withColumn("r", F.row_number().over(w)).where(f"r = 1 and confidence >= {floor}")
-    return references.select("conv_id", "ref_id").join(best.select("conv_id", "ref_id", F.col("cand").alias("resolved_id"), "confidence"), ["conv_id", "ref_id"], "left").select("ref_id", "resolved_id", "confidence")
+
+def _by_keywords(best: DataFrame) -> DataFrame:
+    return best.select("ref_id", F.col("k.id").alias("resolved_id"), F.col("k.confidence").alias("confidence"))
 
 
 def parsed(rows: DataFrame, text: str, extra: list[str]) -> DataFrame:
@@ -109,22 +103,14 @@ def merged_times(artifacts: DataFrame, found: DataFrame) -> DataFrame:
 def resolve_by_vectors(references: DataFrame, candidates: DataFrame, floor: float = 0.5) -> DataFrame:
     """(ref_id, resolved_id, confidence): the candidate of greatest cosine, of the hinted type if the conversation has any; null below ``floor``.
 
-    ``vec`` on both sides, unit length. A hint becomes part of the key, so typed and untyped candidates are searched as blocks.
+    ``vec`` on both sides, unit length.
     """
-    from memloom.operators import blocks
+    return _by_vectors(resolving.best(references, candidates, False, True), floor)
 
-    def keyed(kind: Column) -> Column:
-        return F.concat_ws("\x1f", "conv_id", kind)
 
-    cands = candidates.select("conv_id", "obj_type", F.col("id").alias("doc_id"), "vec", F.array().cast("array<string>").alias("tokens"))
-    kinds = cands.select("conv_id", F.col("obj_type").alias("hint"), F.lit(True).alias("there")).distinct()
-    refs = references.join(kinds, ["conv_id", "hint"], "left").select(F.when(F.col("there"), keyed(F.col("hint"))).otherwise(F.col("conv_id")).alias("conv_id"), F.col("ref_id").alias("q_id"), "vec", F.array().cast("array<string>").alias("tokens"))
-    every = cands.drop("obj_type").unionByName(cands.withColumn("conv_id", keyed(F.col("obj_type"))).drop("obj_type"))
-    found = blocks.scored(every, refs, 1, "semantic")
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id")
-    best = found.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("q_id").alias("ref_id"), "doc_id", "score")
-    sure = F.col("score") >= floor
-    return references.select("ref_id").join(best, "ref_id", "left").select("ref_id", F.when(sure, F.col("doc_id")).alias("resolved_id"), F.coalesce(F.greatest("score", F.lit(0.0)), F.lit(0.0)).alias("confidence"))
+def _by_vectors(best: DataFrame, floor: float = 0.5) -> DataFrame:
+    score = F.col("v.confidence")
+    return best.select("ref_id", F.when(score >= floor, F.col("v.id")).alias("resolved_id"), F.coalesce(F.greatest(score, F.lit(0.0)), F.lit(0.0)).alias("confidence"))
 
 
 def resolve_by_both(by_keywords: DataFrame, by_vectors: DataFrame) -> DataFrame:
@@ -138,10 +124,16 @@ def resolve_by_both(by_keywords: DataFrame, by_vectors: DataFrame) -> DataFrame:
 
 def resolve(references: DataFrame, candidates: DataFrame, strategy: str = "hybrid") -> DataFrame:
     """References to artifacts by 'keyword', 'embedding' or 'hybrid'; another strategy is an error."""
-    if strategy == "keyword":
-        return resolve_by_keywords(references, candidates)
-    if strategy == "embedding":
-        return resolve_by_vectors(references, candidates)
-    if strategy == "hybrid":
-        return resolve_by_both(resolve_by_keywords(references, candidates), resolve_by_vectors(references, candidates))
-    raise ValueError(f"unknown resolver {strategy!r}")
+    return resolve_each(references, candidates, [strategy])[strategy]
+
+
+def resolve_each(references: DataFrame, candidates: DataFrame, strategies: list[str]) -> dict[str, DataFrame]:
+    """The results of ``resolve`` by strategy. Candidates are searched once; what several results read is written to the shared folder."""
+    for s in strategies:
+        if s not in ("keyword", "embedding", "hybrid"):
+            raise ValueError(f"unknown resolver {s!r}")
+    best = resolving.best(references, candidates, strategies != ["embedding"], strategies != ["keyword"])
+    if strategies not in (["keyword"], ["embedding"]):
+        best = materialize(best, "resolved")
+    k, v = _by_keywords(best), _by_vectors(best)
+    return {s: {"keyword": k, "embedding": v}[s] if s != "hybrid" else resolve_by_both(k, v) for s in strategies}

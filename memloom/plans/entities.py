@@ -100,8 +100,8 @@ def c4_hybrid_resolution(spark, folder):
 def c5_resolved_batch(spark, folder):
     """How many references each strategy resolves, all references of the corpus in one batch."""
     out = None
-    for name in ("keyword", "embedding", "hybrid"):
-        r = E.resolve(*_references(spark, folder), name).agg(F.lit(name).alias("strategy"), F.count("*").alias("n"), F.count("resolved_id").alias("resolved"))
+    for name, found in E.resolve_each(*_references(spark, folder), ["keyword", "embedding", "hybrid"]).items():
+        r = found.agg(F.lit(name).alias("strategy"), F.count("*").alias("n"), F.count("resolved_id").alias("resolved"))
         out = r if out is None else out.unionByName(r)
     return out
 

@@ -33,3 +33,81 @@ def test_loaded_state_joins_its_edges_by_keys_as_they_were(spark, tmp_path):
     n, e = J.load_state(spark, f"{tmp_path}/s")
     assert sorted((r.conv_id, r.id) for r in n.join(e, "conv_id", "left_semi").collect()) == [("007", "a"), ("007", "b")]
     assert n.where("conv_id = ''").count() == 1
+
+
+def _resolved(refs, cands):
+    """By hand: every reference with every candidate of its conversation."""
+    out = {}
+    for conv, ref, hint, words, _ in refs:
+        rows = []
+        for c, i, kind, turn, cw, _ in cands:
+            if c == conv:
+                part = 0.1 / (1 + 0.1 * turn) if turn is not None else 9.0
+                share = len(set(words) & set(cw)) / len(set(words)) if words else 0.0
+                rows.append((-round(min(1.0, (0.3 if hint == kind else 0.0) + 0.5 * share + part), 6), turn if turn is not None else 1 << 31, i))
+        best = min(rows, default=(0.0, 0, None))
+        out[ref] = (best[2], -best[0]) if -best[0] >= 0.3 else (None, None)
+    return out
+
+
+def _rows(spark, seed, turns):
+    import random
+
+    r, vocabulary = random.Random(seed), ["alpha", "beta", "gamma", "delta", "epsilon"]
+    unit = lambda: (lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v])([r.gauss(0, 1) for _ in range(16)])
+    pick = lambda: r.sample(vocabulary, r.randint(0, 3))
+    cands = [(f"c{k % 3}", f"i{k:02d}", r.choice(["todo", "event", "decision"]), r.choice(turns), pick(), unit()) for k in range(40)]
+    refs = [(f"c{k % 4}", f"r{k}", r.choice(["todo", "event", "reminder", None]), pick(), unit()) for k in range(40)]
+    both = spark.createDataFrame(refs, "conv_id string, ref_id string, hint string, words array<string>, vec array<double>"), spark.createDataFrame(cands, "conv_id string, id string, obj_type string, turn_id int, words array<string>, vec array<double>")
+    return refs, cands, both
+
+
+def test_resolver_by_words_counts_candidates_without_a_shared_word_or_type(spark):
+    from memloom.operators import extraction as E
+
+    refs, cands, both = _rows(spark, 1, [0, 1, 5, 5, 40, -9, None])
+    got = {r.ref_id: (r.resolved_id, r.confidence) for r in E.resolve_by_keywords(*both).collect()}
+    assert got == _resolved(refs, cands)
+
+
+def _with_small(answers, small):
+    """The same function with another bound of small conversations, on the workers too."""
+
+    def made(*args):
+        run = answers.__wrapped__(*args) if hasattr(answers, "__wrapped__") else answers(*args)
+
+        def bound(batches):
+            from memloom.operators import resolving
+
+            resolving.SMALL = small
+            yield from run(batches)
+
+        return bound
+
+    made.__wrapped__ = getattr(answers, "__wrapped__", answers)
+    return made
+
+
+def test_resolvers_do_not_depend_on_blocks(spark, monkeypatch):
+    from memloom.operators import resolving
+
+    refs, cands, both = _rows(spark, 2, [1, 2, 3, 5, 8])
+    for rows, small in ((3, 0), (8192, 0), (8192, 64)):
+        monkeypatch.setattr(resolving, "_answers", _with_small(resolving._answers, small))
+        got = {r.ref_id: r for r in resolving.best(*both, True, True, block_rows=rows).collect()}
+        assert {k: (r.k.id, r.k.confidence) if r.k else (None, None) for k, r in got.items()} == _resolved(refs, cands)
+        for conv, ref, hint, _, v in refs:
+            own = [c for c in cands if c[0] == conv]
+            own = [c for c in own if c[2] == hint] or own
+            want = min(((-round(sum(a * b for a, b in zip(v, c[5])), 6), c[1]) for c in own), default=None)
+            assert (want is None and got[ref].v is None) or (got[ref].v.id, got[ref].v.confidence) == (want[1], -want[0])
+
+
+def test_references_share_one_search(spark):
+    from memloom.operators import extraction as E
+
+    _, _, both = _rows(spark, 3, [1, 2, 3])
+    each = E.resolve_each(*both, ["keyword", "embedding", "hybrid"])
+    plans = [d._jdf.queryExecution().toString() for d in each.values()]
+    assert all("MapInArrow" not in p for p in plans)
+    assert {r.ref_id: r.resolved_id for r in each["hybrid"].collect()} == {r.ref_id: r.resolved_id for r in E.resolve(*both, "hybrid").collect()}

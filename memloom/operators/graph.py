@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from memloom import schema as S
 from memloom.functions import text as X
 from memloom.functions import vectors as V
+from memloom.operators import relating
 from memloom.session import materialize
 
 
@@ -175,16 +176,15 @@ def earlier_pairs(f: DataFrame, back: int | None = None) -> DataFrame:
 def relation_rule(f: DataFrame, rule: int, reference: float = 0.5, causal: float = 0.45, floor: float = 0.3) -> DataFrame:
     """(conv_id, src, dst, relation) of one of the seven inference rules over rows of earlier turns."""
 
-    def of(new: list[str] | None, old: list[str], back: int | None) -> DataFrame:
-        left = f if new is None else f.where(F.col("obj_type").isin(*new, *old))
-        p = earlier_pairs(left, back)
-        return p.where((F.lit(True) if new is None else F.col("n_obj_type").isin(new)) & (F.lit(True) if not old else F.col("o_obj_type").isin(old)))
+    def of(new: list[str], old: list[str], back: int | None) -> DataFrame:
+        p = earlier_pairs(f.where(F.col("obj_type").isin(*new, *old)), back)
+        return p.where(F.col("n_obj_type").isin(new) & F.col("o_obj_type").isin(old))
 
+    if rule == 1:
+        return relating.references(f, reference, floor).withColumn("relation", F.lit("references"))
     strong = F.when(F.col("overlap"), F.col("sim") >= floor)
     best = Window.partitionBy("conv_id", "n_id")
-    if rule == 1:
-        got, relation = of(None, [], None).where((F.col("sim") >= reference) | (F.col("overlap") & (F.col("sim") >= floor))), "references"
-    elif rule == 2:
+    if rule == 2:
         fit = of(["todo"], ["decision"], 5).where(strong.otherwise(F.col("sim") >= causal))
         got, relation = fit.withColumn("r", F.row_number().over(best.orderBy(F.desc("sim"), "o_turn_id", "o_id"))).where("r = 1"), "caused_by"
     elif rule == 3:

@@ -111,3 +111,34 @@ def test_references_share_one_search(spark):
     plans = [d._jdf.queryExecution().toString() for d in each.values()]
     assert all("MapInArrow" not in p for p in plans)
     assert {r.ref_id: r.resolved_id for r in each["hybrid"].collect()} == {r.ref_id: r.resolved_id for r in E.resolve(*both, "hybrid").collect()}
+
+
+def test_relation_rule_1_does_not_depend_on_blocks(spark, monkeypatch):
+    import random
+
+    from memloom.operators import graph as G
+    from memloom.operators import relating
+
+    r, words = random.Random(4), ["alpha", "beta", "gamma", "delta"]
+    unit = lambda: (lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v])([r.gauss(0, 1) for _ in range(16)])
+    rows = [(f"c{k % 2}", f"i{k:02d}", r.choice([1, 2, 3, 3, None]), "todo", unit(), r.sample(words, 2), r.sample(words, 1)) for k in range(60)]
+    f = spark.createDataFrame(rows, "conv_id string, id string, turn_id int, obj_type string, vec array<double>, kw_all array<string>, kw_content array<string>")
+    want = set()
+    for n in rows:
+        for o in rows:
+            if n[0] == o[0] and None not in (n[2], o[2]) and o[2] < n[2]:
+                sim = round(sum(a * b for a, b in zip(n[4], o[4])), 6)
+                if sim >= 0.5 or (sim >= 0.3 and set(n[5]) & set(o[6])):
+                    want.add((n[1], o[1]))
+    assert len(want) > 20
+    for rows_of_block in (7, 1536):
+        got = relating.references(f, 0.5, 0.3, block_rows=rows_of_block).collect()
+        assert len(got) == len(want) and {(x.src, x.dst) for x in got} == want
+    assert "Join" not in G.relation_rule(f, 1)._jdf.queryExecution().analyzed().toString().replace("Join LeftOuter", "")  # no pair is a row of a join
+    import numpy as np
+
+    many = [[w for w in words if r.random() < 0.3] for _ in range(30)]
+    a, b = np.nonzero(np.ones((30, 30), bool))
+    alone = relating._share(many, many, a, b)
+    monkeypatch.setattr(relating, "ONE_BY_ONE", 0)
+    assert (relating._share(many, many, a, b) == alone).all()

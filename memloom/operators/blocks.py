@@ -147,17 +147,17 @@ def _score(k: int, method: str, weight: float, dim: int):
     return run
 
 
-def scored(docs: DataFrame, questions: DataFrame, k: int, method: str, weight: float = 0.7, dim: int = 16, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def scored(docs: DataFrame, questions: DataFrame, k: int, method: str, weight: float = 0.7, dim: int = 16, block_rows: int = BLOCK_ROWS, stored: bool = False) -> DataFrame:
     """(conv_id, q_id, doc_id, score): of every question all candidates that can be among its k best by 'semantic', 'bm25' or 'hybrid'.
 
     Candidates are (conv_id, doc_id, vec, tokens), questions (conv_id, q_id, vec, tokens); vectors
-    have length one and ``dim`` numbers. Ids that are null take no part.
+    have length one and ``dim`` numbers. ``stored`` says that the candidates are a table already. Ids that are null take no part.
     """
     docs, questions = docs.where("conv_id is not null and doc_id is not null"), questions.where("conv_id is not null and q_id is not null")
     if method == "bm25":  # no vector is computed or shuffled
         nothing = F.lit(None).cast("array<double>")
         docs, questions = docs.withColumn("vec", nothing), questions.withColumn("vec", nothing)
-    if method != "semantic":  # the statistics and the blocks read the same tokens: they are made once
+    if method != "semantic" and not stored:  # the statistics and the blocks read the same tokens: they are made once
         docs = materialize(docs.select("conv_id", "doc_id", "vec", "tokens"), "docs")
     corpus = corpus_of(docs)
     blocks = F.ceil(F.col("n") / block_rows).cast("int")

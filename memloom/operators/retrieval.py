@@ -20,14 +20,14 @@ def ranked(scores: DataFrame, most: int | Column, by: str = "score", tie: str =
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def retrieve(docs: DataFrame, questions: DataFrame, most: int | Column = 5, method: str = "hybrid", widest: int = 20) -> DataFrame:
+def retrieve(docs: DataFrame, questions: DataFrame, most: int | Column = 5, method: str = "hybrid", widest: int = 20, block_rows: int = blocks.BLOCK_ROWS, stored: bool = False) -> DataFrame:
     """Top candidates per question by 'semantic', 'bm25' or 'hybrid'; another method is an error.
 
-    ``most`` may be a column of the questions' own number, of at most ``widest``.
+    ``most`` may be a column of the questions' own number, of at most ``widest``. ``block_rows`` and ``stored`` are those of ``blocks.scored``.
     """
     if method not in ("semantic", "bm25", "hybrid"):
         raise ValueError(f"unknown method {method!r}")
-    return ranked(blocks.scored(docs, questions, most if isinstance(most, int) else widest, method), most)
+    return ranked(blocks.scored(docs, questions, most if isinstance(most, int) else widest, method, block_rows=block_rows, stored=stored), most)
 
 
 def _sets(question: Column, doc: Column) -> tuple[Column, Column]:

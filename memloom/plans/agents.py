@@ -13,10 +13,14 @@ from memloom.operators import selection as P
 from memloom.plans import sqltext as Q
 from memloom.plans.retrieval import _HYB, _LEX, _SEM, _SHARE, _base, _best, _hash, _lexical, _out, _top, _topk, docs, questions
 from memloom.plans.selections import _DATED
+from memloom.session import materialize
 from memloom.sources.tables import once, table
 from memloom import schema as S
 
 
+_WIDE_BLOCK = 8_192  # rows of a block: what blocks send on grows with their number
+
+
 def _hybrid(spark, folder, k: int):
     d, q = docs(spark, folder), questions(spark, folder)
     hits = R.retrieve(d, q, k, "hybrid")
@@ -71,19 +75,20 @@ def q21_routed(spark, folder):
 
 def q22_agent_contexts(spark, folder):
     """What a question is answered from: complex ones by merged wordings, temporal ones reranked, the others as retrieved; shown under a budget."""
-    d, q = docs(spark, folder), questions(spark, folder)
+    d = materialize(docs(spark, folder), "docs")  # every retrieval and the contexts read it
     path = F.when(X.complexity(F.col("question")) == "complex", "expand").when(X.is_temporal(F.col("question")), "rerank").otherwise("plain")
-    of = q.select("conv_id", "q_id", path.alias("path"))
-    wide = R.retrieve(d, q, 8, "bm25").unionByName(R.retrieve(d, q.withColumn("tokens", X.keyword_set(F.col("question"))), 8, "bm25"))
+    q = materialize(questions(spark, folder).withColumn("path", path), "asked")
+    # each question is retrieved only as its own path asks; both wordings of a question are one retrieval
+    wordings = F.explode(F.array(F.struct(F.lit("0").alias("n"), "tokens"), F.struct(F.lit("1").alias("n"), X.keyword_set(F.col("question")).alias("tokens"))))
+    asked = q.where("path = 'expand'").select("conv_id", "q_id", "vec", wordings.alias("w")).select("conv_id", F.concat("q_id", "w.n").alias("q_id"), "vec", "w.tokens")
+    wide = R.retrieve(d, asked, 8, "bm25", block_rows=_WIDE_BLOCK, stored=True).withColumn("q_id", F.expr("left(q_id, length(q_id) - 1)"))
     cols = ["conv_id", "q_id", "doc_id", "rank"]
-    again = _hybrid(spark, folder, 10).withColumn("score", F.round(R.rerank_mock(F.col("question"), _doc()), 6)).drop("rank")
-    results = [("expand", R.merged_expansions(wide, 10)), ("rerank", R.ranked(again, 5)), ("plain", R.retrieve(d, q, 5, "hybrid"))]
-    picked = None
-    for name, r in results:
-        part = r.select(*cols).join(of.where(F.col("path") == name), ["conv_id", "q_id"])
-        picked = part if picked is None else picked.unionByName(part)
-    rows = picked.join(d.drop("vec", "tokens"), ["conv_id", "doc_id"]).withColumn("conv_id", F.col("q_id")).withColumnRenamed("rank", "rn")
-    return P.rendered(P.within_budget(rows, 5000)).select(F.col("conv_id").alias("q_id"), "block")
+    hits = R.merged_expansions(wide, 10).select(*cols).unionByName(R.retrieve(d, q.where("path <> 'expand'"), 10, "hybrid", block_rows=_WIDE_BLOCK, stored=True).select(*cols))
+    found = hits.join(d.drop("vec", "tokens"), ["conv_id", "doc_id"]).join(q.select("conv_id", "q_id", "question", "path"), ["conv_id", "q_id"])
+    again = F.when(F.col("path") == "rerank", F.round(R.rerank_mock(F.col("question"), _doc()), 6))
+    w = Window.partitionBy("conv_id", "q_id").orderBy(F.desc("again"), F.when(F.col("path") == "rerank", F.lit(0)).otherwise(F.col("rank")), "doc_id")
+    picked = found.withColumn("again", again).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.when(F.col("path") == "expand", 10).otherwise(5))
+    return P.rendered(P.within_budget(picked.withColumn("conv_id", F.col("q_id")), 5000)).select(F.col("conv_id").alias("q_id"), "block")
 
 
 def q24_rag_chunks(spark, folder):

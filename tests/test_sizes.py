@@ -142,3 +142,13 @@ def test_relation_rule_1_does_not_depend_on_blocks(spark, monkeypatch):
     alone = relating._share(many, many, a, b)
     monkeypatch.setattr(relating, "ONE_BY_ONE", 0)
     assert (relating._share(many, many, a, b) == alone).all()
+
+
+def test_agent_contexts_retrieve_each_question_only_by_its_path(spark, monkeypatch):
+    from memloom.operators import blocks
+    from memloom.plans import agents
+
+    calls, scored = [], blocks.scored
+    monkeypatch.setattr(blocks, "scored", lambda d, q, k, method, *a, **kw: calls.append(method) or scored(d, q, k, method, *a, **kw))
+    agents.q22_agent_contexts(spark, "/root/testdata/sf0.001")
+    assert sorted(calls) == ["bm25", "hybrid"]

@@ -16,7 +16,8 @@ message recurs.
 
 The text of a message travels to its group only if it holds a sign of some rule (a slot,
 an empty fill, filler vocabulary, a trigger word); other messages cannot be classified and
-are grouped by their hash alone.
+are grouped by their hash alone. A phrase rule is tried only on messages that hold one of
+its own signs, and a mask only where a sign of it stands.
 
 Edge cases: null, empty and blank texts, and texts of fewer than MIN_CHARS characters,
 are never cases; a document that is delivered twice counts once; transcript markers and
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,28 +79,55 @@ TRIGGERS = tuple(
     "lorem ipsum dolor consectetur dummy placeholder sample description sentences text title titel título titre eintragen einfügen ergänzen hier aquí here exemple muestra ejemplo relleno muster beispiel 此处 示例 占位 asdf qwer bla remplacer ersetzen completar compléter "
     "reload refresh retry retournez invite tbd untitled".split()
 ) + ("not found", "logged out", "too many requests", "no longer available", "has been", "could not", "went wrong", "this page", "coming soon", "foo bar", "test test", "replace me", "try again", "sign in", "log in", "return to", "go back", "back to", "zurück zur", "nothing can", "cannot start", "be back", "slow down", "space", "content", "summary", "conversation", "paragraph")
-SLOT_SIGNS = re.compile(r"[{\[<%@$#_]|XX-")
-FILL_SIGNS = re.compile(r"undefined|null|NaN|nan|None|\[object")
+# each form of a phrase rule contains one of the rule's own signs too, which are fewer
+RULE_SIGNS = {
+    "script": ("script", "skript", "脚本", "js", "cookie", "browser", "human", "captcha", "connection", "vérification", "comprobando", "正在"),
+    "error": (
+        "<title>", "error", "fehler", "erreur", "错误", "traceback", "not found", "forbidden", "unavailable", "unauthorized", "bad gateway", "gateway time", "denied", "too many requests", "seite", "introuvable", "página", "页面", "服务", "acceso", "accès", "zugriff",
+        "have permission to", "be served", "find what", "find the", "load this", "load the", "failed to", "unexpected", "closed the", "expired", "logged out", "maintenance", "no longer available", "not exist", "has been", "could not", "snag", "followed", "temporarily", "went wrong", "this page", "dienst", "indisponible", "servicio", "algo", "出错", "caducado", "expiré", "sitzung", "会话",
+    ),
+    "filler": (
+        "ipsum", "dolor", "consectetur", "text", "placeholder", "sample", "coming soon", "here", "description", "sentences", "space", "content", "summary", "conversation", "paragraph", "title", "titel", "título", "titre", "hier", "aquí", "此处", "示例", "占位", "asdf", "qwer", "foo bar", "test test", "bla",
+        "remplacer", "ersetzen", "completar", "compléter", "replace me",
+    ),
+    "weak": ("reload", "refresh", "try again", "retry", "sign in", "log in", "return to", "back to", "seite", "retournez", "nothing can", "cannot start", "be back", "invite", "tbd", "title", "titel"),
+}
+
+# the signs of a mask begin with a character to search for, and say what may stand around it; FILLS and HOSTS are sought in a whole text
+SLOT_SIGNS = re.compile(r"[{\[<$%@_X](?:(?<=[{\[<])|(?<=\$)[A-Z]|(?<=%)[A-Z(]|(?<=@)@|(?<=_)_|(?<=X)X-)")
+SLOTS = ("{", "[", "<", "$", "%", "@@", "__", "XX-")
+FILLS = ("undefined", "null", "NaN", "nan", "None", "[object")
+HOSTS = ("://", "@", ".example", ".com", ".org", ".net")
 DIGIT = re.compile(r"\d")
+FILL_SIGNS = re.compile("undefined|null|NaN|nan|None|\\[object")
 ADDRESS_SIGNS = re.compile(r"@|://|\w\.\w")
+ID_SIGNS = re.compile(r"\d(?:(?<=[^\W\d]\d)|(?=[^\W\d]))")
 ADDRESS = re.compile(r"https?://\S+|\b[\w.+-]+@[\w-]+\.\w[\w.]*|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net)\b")
-ID = re.compile(r"\b[A-Z]{2,4}-\d+\b|\b(?=\w*\d)(?=\w*[A-Za-z])\w{6,}\b")
-NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
+TICKET = re.compile(r"[A-Z](?<!\w[A-Z])[A-Z]{1,3}-\d+\b")
+ID = re.compile(r"\b(?=\w*\d)(?=\w*[A-Za-z])\w{6,}\b")
+NUMBER = re.compile(r"\d\d*(?:[.,:/-]\d+)*")
 
 LATIN, PAGE = "<latin>", "<page> "  # a sentence of filler vocabulary, and the mark of a line that is an error record or page
 
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
-INLINE = re.compile(r"`[^`\n]*`|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^»\n]{0,400}»|「[^」\n]{0,400}」|(?<![\w=])\"[^\"\n]{0,400}\"(?!\w)")
+INLINE = re.compile(r"`[^`\n]*`|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^»\n]{0,400}»|「[^」\n]{0,400}」|\"(?<![\w=]\")[^\"\n]{0,400}\"(?!\w)")
 RECORD = re.compile(r"^\s*[\[{]\s*\"(?:id|type|content|obj_type|artifacts?)\"")
 CODE_LINE = re.compile(r"^(?:\s{4,}|\t)\S|^\s*(?:def |class |return |import |from \w+ import |for \w+ in |if .*:$|const |let |var |function )")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+SENTENCE = re.compile(r"\s(?<=[.!?]\s)\s*")
+WIDE_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
 SPEAKER = re.compile(r"^\s*(?:\[Turn \d+\]\s*)?(?:User|Assistant|Q|A)\s*:\s*|^\s*(?:[-*•>]|\d{1,3}[.)])\s+|^\s*\[Turn \d+\]\s*")
 
 
+@lru_cache(4)
+def _encoded(words: frozenset[str]) -> frozenset[bytes]:
+    return frozenset(w.encode() for w in words)
+
+
 def latin(part: str, words: frozenset[str]) -> bool:
     """Whether the part is made of filler vocabulary: four words or more, four fifths of them known."""
-    said = re.findall(r"[a-z]+", part.lower())
-    return len(said) >= 4 and sum(w in words for w in said) >= 0.8 * len(said)
+    said = part.lower().encode("utf-8", "replace").translate(LETTERS).split()
+    return len(said) >= 4 and sum(map(_encoded(words).__contains__, said)) >= 0.8 * len(said)
 
 
 def trigger_test() -> Callable[[str], bool]:
@@ -112,23 +141,48 @@ def trigger_test() -> Callable[[str], bool]:
     return lambda low: next(found.iter(low), None) is not None
 
 
-def mask(text: str) -> tuple[str, str | None]:
-    """The message without slots, addresses, hosts, codes, ids, dates and numbers, one blank between words, lower case; and its first placeholder as written."""
+@lru_cache(1)
+def _rule_test() -> Callable[[str], set[str]]:
+    """The kinds of which a lower-case text holds a sign."""
+    import ahocorasick
+
+    kinds: dict[str, tuple[str, ...]] = {}
+    for kind, signs in RULE_SIGNS.items():
+        for t in signs:
+            kinds[t] = (*kinds.get(t, ()), kind)
+    found = ahocorasick.Automaton()
+    for t, of in kinds.items():
+        found.add_word(t, of)
+    found.make_automaton()
+    return lambda low: {kind for _, of in found.iter(low) for kind in of}
+
+
+def _plain(low: str) -> str:
+    """A lower-case text with the letters replaced that rules which ignore case take for s and i; its length stays."""
+    return low if low.isascii() else low.replace("ſ", "s").replace("ı", "i")
+
+
+def mask(text: str, slots: bool = True, fills: bool = True, hosts: bool = True) -> tuple[str, str | None]:
+    """The message without slots, addresses, hosts, codes, ids, dates and numbers, one blank between words, lower case; and its first placeholder as written. What is said not to occur is not looked for."""
     slot = None
-    if SLOT_SIGNS.search(text):
+    if slots and SLOT_SIGNS.search(text):
         found = SLOT.search(text)
         if found:
             slot = NUMBER.sub("0", found.group()).lower()
             text = SLOT.sub("<slot>", text)
-    if FILL_SIGNS.search(text):
-        fills = EMPTY_FILL.findall(text)
-        if len(fills) >= 2 or "[object Object]" in fills:
-            slot = slot or fills[0].lower()
+    if fills and FILL_SIGNS.search(text):
+        said = EMPTY_FILL.findall(text)
+        if len(said) >= 2 or "[object Object]" in said:
+            slot = slot or said[0].lower()
         text = EMPTY_FILL.sub("<slot>", text)
-    if ADDRESS_SIGNS.search(text):
+    if hosts and ADDRESS_SIGNS.search(text):
         text = ADDRESS.sub("<addr>", text)
     if DIGIT.search(text):
-        text = NUMBER.sub("0", ID.sub("<id>", text))
+        if "-" in text:
+            text = TICKET.sub("<id>", text)
+        if ID_SIGNS.search(text):
+            text = ID.sub("<id>", text)
+        text = NUMBER.sub("0", text)
     return " ".join(text.split()).lower(), slot
 
 
@@ -138,33 +192,45 @@ Message = tuple[str, str | None, bool]
 def messages(text: str, words: frozenset[str] = BASE_WORDS, triggered: Callable[[str], bool] | None = None) -> list[Message]:
     """(masked message, placeholder, whether some rule might match) of each message."""
     triggered = triggered or trigger_test()
+    slots, fills, hosts = (any(sign in text for sign in signs) for signs in (SLOTS, FILLS, HOSTS))
     out: list[Message] = []
-    for line in FENCE.sub("\n", text).splitlines():
+    if "```" in text or "~~~" in text:
+        text = FENCE.sub("\n", text)
+    for line in text.splitlines():
         if not line.strip() or RECORD.match(line):
             continue
-        while (bare := SPEAKER.sub("", line, count=1)) != line:
-            line = bare
+        while said := SPEAKER.match(line):
+            line = line[said.end() :]
         raw = line.strip()
         if raw.startswith('{"error"') or raw[:6].lower() == "<html>":
             out.append((PAGE + mask(raw)[0], None, True))
             continue
         if CODE_LINE.match(line):
             continue
-        for part in SENTENCE.split(INLINE.sub(" ", line)):
+        wide = not line.isascii()
+        if wide or "`" in line or '"' in line:
+            line = INLINE.sub(" ", line)
+        for part in (WIDE_SENTENCE if wide and ("。" in line or "！" in line or "？" in line) else SENTENCE).split(line):
             part = part.strip()
             if not part:
                 continue
-            masked, slot = mask(part)
+            masked, slot = mask(part, slots, fills, hosts)
             low = " ".join(part.lower().split())
             if slot is None and latin(low, words):
                 out.append((LATIN, None, True))
                 continue
-            if not low.isascii():
-                low = low.replace("ſ", "s").replace("ı", "i")  # for the rules, which ignore case, these are equal
-            out.append((masked, slot, slot is not None or triggered(low)))
+            out.append((masked, slot, slot is not None or triggered(_plain(low))))
     return out
 
 
+def _case_free(rule: re.Pattern) -> re.Pattern:
+    """The rule for what _plain() returns: tried faster, since case need not be ignored."""
+    return re.compile(rule.pattern.replace("JS", "js"))
+
+
+_RULES = {kind: _case_free(rule) for kind, rule in [*STRONG.items(), ("weak", WEAK)]}
+
+
 def classify(message: str, slot: str | None) -> tuple[str, str]:
     """(class, core) of a masked message; class 'slot', 'script', 'error', 'filler', 'weak' or ''."""
     if slot is not None:
@@ -173,12 +239,16 @@ def classify(message: str, slot: str | None) -> tuple[str, str]:
         return "error", PAGE
     if message == LATIN:
         return "filler", LATIN
-    for kind, rule in STRONG.items():
-        found = rule.search(message)
+    low = _plain(message)
+    kinds = _rule_test()(low)
+    for kind, rule in _RULES.items() if kinds else ():
+        found = kind in kinds and rule.search(low)
         if found:
-            said = found.group().split()
+            if kind == "weak":
+                return kind, ""
+            said = message[found.start() : found.end()].split()
             return kind, " ".join(said if len(said) <= 6 else [said[0], said[-1]])
-    return ("weak", "") if WEAK.search(message) else ("", "")
+    return "", ""
 
 
 def filler_words(documents: DataFrame) -> frozenset[str]:

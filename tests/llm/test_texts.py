@@ -1,3 +1,4 @@
+import re
 import re._constants as C
 import re._parser as P
 from itertools import product
@@ -192,6 +193,41 @@ def test_every_phrase_rule_implies_a_trigger():
         assert not [f for f in _forms(P.parse(rule.pattern, rule.flags)) if not any(t in f for t in residue.TRIGGERS)], kind
 
 
+def test_every_phrase_rule_implies_a_sign_of_its_own():
+    for kind, rule in [*residue.STRONG.items(), ("weak", residue.WEAK)]:
+        assert not [f for f in _forms(P.parse(rule.pattern, rule.flags)) if not any(t in f for t in residue.RULE_SIGNS[kind])], kind
+
+
+@pytest.mark.parametrize("message,kinds", [("the gateway was planned for the choir", set()), ("he lives here", {"filler"}), ("an error of 0 rows", {"error"}), ("the page title of our script", {"script", "filler", "weak"})])
+def test_a_rule_is_tried_only_on_messages_with_its_sign(monkeypatch, message, kinds):
+    """A trigger of another rule, or a common word, does not send a message through all rules."""
+    tried = set()
+
+    class Noted:
+        def __init__(self, kind, rule):
+            self.kind, self.rule = kind, rule
+
+        def search(self, text):
+            tried.add(self.kind)
+            return self.rule.search(text)
+
+    monkeypatch.setattr(residue, "_RULES", {kind: Noted(kind, rule) for kind, rule in residue._RULES.items()})
+    assert residue.classify(message, None) == ("", "") and tried == kinds
+
+
+def test_masks_and_sentences_follow_their_definitions():
+    """What is searched by signs equals the plain expressions, on pieces put together in every order."""
+    pieces = ["TC-48300", "AB-12x", "ABCDE-12", "AB-CD-12", "aTC-12", "ab12cd", "1２ab3c", "éé1234", "x_1", "3.5:7", "12:123abc", "$35", "XX-AB-XX", "__a__", "%(k)s", "@@T@@", "null", "NaN", "me@x.org", "a.com", ".", "! ", "。", '"', "a", " "]
+    ids = re.compile(r"\b[A-Z]{2,4}-\d+\b|\b(?=\w*\d)(?=\w*[A-Za-z])\w{6,}\b")
+    quoted = re.compile(r"(?<![\w=])\"[^\"\n]{0,400}\"(?!\w)")
+    for text in ("".join(p) for p in product(pieces, repeat=3)):
+        plain = residue.EMPTY_FILL.sub("<slot>", residue.SLOT.sub("<slot>", text))
+        plain = re.sub(r"\d+(?:[.,:/-]\d+)*", "0", ids.sub("<id>", residue.ADDRESS.sub("<addr>", plain)))
+        assert residue.mask(text)[0] == " ".join(plain.split()).lower(), text
+        parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+|(?<=[。！？])\s*", quoted.sub(" ", text)) if p.strip()]
+        assert [m for m, _, _ in residue.messages(text)] == [residue.mask(p)[0] for p in parts], text
+
+
 @pytest.mark.parametrize("text,kind", [
     ("Write a short note in the space below.", "filler"), ("Type a short reply in the space provided", "filler"), ("Page\u00a0not \u2003found", "error"), ("You have been  logged\tout", "error"),
     ("More coming  soon", "filler"), ("Try  again", "weak"), ("Acceſs denıed", "error"), ("Unter ganz neuen Dingen stehen hier nur " + "lorem ipsum dolor sit amet " * 8, "filler"),
